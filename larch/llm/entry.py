@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larch.llm import mixing, neardup, neighbours, quality, sharding, substrings
+from larch.llm import mixing, neardup, neighbours, pieces, quality, secrets, sharding, substrings
 from larch.llm.common import table
 
 
@@ -15,6 +15,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = pieces.decode(pieces.encode(docs))
+    return out.select("doc_id", "n_tokens", "ids", F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), F.length("decoded").cast("long").alias("decoded_chars"))
+
+
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,8 +43,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("is_secret", F.col("score") >= secrets.THRESHOLD)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op5_minhash_neardup, op6_nearest_neighbours, op7_mixing, op8_sharding, op9_substring_dedup)
+    f.__name__: f for f in (op1_quality_rules, op4_sentencepiece, op5_minhash_neardup, op6_nearest_neighbours, op7_mixing, op8_sharding, op9_substring_dedup, op10_secret_scan)
 }
 
 SQL: dict[str, str] = {}

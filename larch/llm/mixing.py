@@ -136,8 +136,11 @@ def _meeting(rule):
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken (size x copies) of each row of docs (doc_id, text, source)."""
-    slim = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"), F.xxhash64("doc_id", "text").alias("tie")))
+    """Of each row of docs (doc_id, text, source): doc_id, tie, source, size, source_size, target, copies and taken.
+
+    tie is the hash of doc_id and text, and taken is size x copies.
+    """
+    slim = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("tie")))
     per = cut(targets(slim, weights, most))
     few = per.count() <= BROADCAST_SOURCES
     rows = slim.count()
@@ -167,4 +170,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
         both = both.unionByName(x)
     copies = (F.col("whole") + F.col("p")).cast("long")
     drop(slim)
-    return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return both.select("doc_id", "tie", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """docs with each row as often as the mix takes it (rows of no words stay as they are), all columns kept."""
+    took = mix_sources(docs, weights, most).groupBy(F.col("doc_id").alias("_d"), F.col("tie").alias("_t")).agg(F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).alias("_n"))
+    rows = docs.withColumn("_tie", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    rows = rows.join(took, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t"))).filter("_n > 0")
+    # Equal rows share a count, which the first of them carries.
+    rows = rows.dropDuplicates(["_d", "_t"])
+    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(*docs.columns)

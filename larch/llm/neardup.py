@@ -223,8 +223,11 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumn("cf", F.when(F.col("cd").isNull(), F.col("f")).otherwise(F.col("cf"))).withColumn("cd", F.coalesce("cd", "d"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, f (hash of the text), n_shingles, cd, cf for each row of docs (doc_id, text).
+
+    (cd, cf) names the class: the (doc_id, f) of one of its rows, the smallest of all; null for an empty set.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("f"), "text")
     sets = cut(rows.mapInArrow(_sets, _SETS))
     # Nodes: one by set; its smallest (doc_id, hash of the text) names it.
@@ -261,9 +264,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if not more.isEmpty():
             labels = cut(components(links.unionByName(more)))
     drop(nodes)
-    classes = owners.join(labels.select("d", "f", "cd"), ["d", "f"], "left").select(*keys, F.coalesce("cd", "d").alias("component"))
-    classes = cut(classes)
-    slim = sets.select("doc_id", *keys)
-    out = slim.join(classes, keys, "left")
-    found = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
+    named = owners.join(labels.select("d", "f", "cd"), ["d", "f"], "left").select(*keys, F.coalesce("cd", "d").alias("cd"), F.when(F.col("cd").isNull(), F.col("f")).otherwise(F.col("cf")).alias("cf"))
+    named = cut(named)
+    return sets.select("doc_id", "f", *keys).join(named, keys, "left").select("doc_id", "f", "n_shingles", "cd", "cf")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    found = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("cd", "doc_id"))
+    return classes(docs).select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, less those that are in a class with a smaller row.
+
+    Rows equal in doc_id and text are one document; rows without words or doc_id all stay.
+    """
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    first = classes(docs).filter(alone | ((F.col("doc_id") == F.col("cd")) & (F.col("f") == F.col("cf"))))
+    first = first.select(F.col("doc_id").alias("_d"), F.col("f").alias("_f"), alone.alias("_alone")).distinct()
+    rows = docs.withColumn("_h", F.xxhash64("text")).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_f")))
+    rows = rows.withColumn("_row", F.when(F.col("_alone"), F.monotonically_increasing_id()).otherwise(0))
+    return rows.dropDuplicates(["_d", "_f", "_row"]).select(*docs.columns)

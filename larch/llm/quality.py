@@ -211,6 +211,19 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(judge, SCHEMA)
 
 
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that pass; the others go."""
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                at = [columns.index("doc_id"), columns.index("text")]
+                yield piece.filter(_judge(piece.select(at)).column("kept"))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def repeats(text: str, min_len: int = WINDOW) -> list[tuple[int, list[int]]]:
     """The maximal repeated substrings of one text: (length in words, first words of the occurrences)."""
     data, offsets = buffers(pa.array([text]))
