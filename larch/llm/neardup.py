@@ -264,7 +264,7 @@ def classes(docs: DataFrame) -> DataFrame:
         if not more.isEmpty():
             labels = cut(components(links.unionByName(more)))
     drop(nodes)
-    named = owners.join(labels.select("d", "f", "cd"), ["d", "f"], "left").select(*keys, F.coalesce("cd", "d").alias("cd"), F.when(F.col("cd").isNull(), F.col("f")).otherwise(F.col("cf")).alias("cf"))
+    named = owners.join(labels.select("d", "f", "cd", "cf"), ["d", "f"], "left").select(*keys, F.coalesce("cd", "d").alias("cd"), F.when(F.col("cd").isNull(), F.col("f")).otherwise(F.col("cf")).alias("cf"))
     named = cut(named)
     return sets.select("doc_id", "f", *keys).join(named, keys, "left").select("doc_id", "f", "n_shingles", "cd", "cf")
 
