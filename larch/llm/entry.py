@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larch.llm import mixing, neardup, neighbours, pieces, quality, secrets, sharding, substrings
+from larch.llm import licences, mixing, neardup, neighbours, pieces, quality, scoring, secrets, sharding, substrings
 from larch.llm.common import table
 
 
@@ -15,6 +15,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.licences(licences.document_files(table(spark, sf_dir, "documents")))
+    return found.select(F.col("row.doc_id").alias("doc_id"), *(c for c in found.columns if c != "row"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = pieces.decode(pieces.encode(docs))
@@ -49,7 +58,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op4_sentencepiece, op5_minhash_neardup, op6_nearest_neighbours, op7_mixing, op8_sharding, op9_substring_dedup, op10_secret_scan)
+    f.__name__: f for f in (op1_quality_rules, op2_licence_scan, op3_lm_scoring, op4_sentencepiece, op5_minhash_neardup, op6_nearest_neighbours, op7_mixing, op8_sharding, op9_substring_dedup, op10_secret_scan)
 }
 
 SQL: dict[str, str] = {}
