@@ -117,11 +117,12 @@ def shortlist_rerank(queries: DataFrame, references: DataFrame, bucket: str, sho
     n = queries.count()
     salts = max(1, -(-n // GROUP_CELLS))
     q = queries.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    r = references.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Both sides may come from one table: new names keep their columns apart in the cogroup.
+    r = references.select(*[F.col(c).alias(f"r_{c}") for c in references.columns]).withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        b = b.sort_values("id") if len(b) else b  # an empty side has no columns
+        b = b.rename(columns=lambda c: c.removeprefix("r_")).sort_values("id") if len(b) else b  # an empty side has no columns
         pool = np.stack(b["pool"].to_numpy()).astype(float) if len(b) else None
         for x in a.itertuples() if len(a) else ():
             best = (None, -1.0)
@@ -134,7 +135,7 @@ def shortlist_rerank(queries: DataFrame, references: DataFrame, bucket: str, sho
             rows.append((x.id, best[0], best[1]))
         return pd.DataFrame(rows, columns=["id", "match_id", "score"])
 
-    return q.groupBy(bucket, "salt").cogroup(r.groupBy(bucket, "salt")).applyInPandas(run, "id long, match_id long, score double")
+    return q.groupBy(bucket, "salt").cogroup(r.groupBy(f"r_{bucket}", "r_salt")).applyInPandas(run, "id long, match_id long, score double")
 
 
 def shift_rescue(scores: DataFrame, shifted: DataFrame) -> DataFrame:
