@@ -6,7 +6,7 @@ meet, words (not copies) move at random from one to the other until one fraction
 other stays for the next meeting.  A move keeps the sum of words, and each fraction's expectation.
 
 The reduction tree: leaves are (source, size class, hash bucket) groups of a bounded number of rows;
-each leaves one open document, and the open ones meet again in ever fewer buckets until one per
+each leaves a few open documents, and the open ones meet again in ever fewer buckets until OPEN per
 source and size class (the bit length of the size, so at most 64) is left.  The last meeting of a
 source settles these at once, up and down so that the words taken come next to the target.
 
@@ -31,6 +31,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 LEAF_ROWS = 20_000
 FAN_IN = 256
+#: Documents that a meeting may leave open.
+OPEN = 4
 #: Sources up to this number travel by broadcast (each takes under 200 bytes), more by a join.
 BROADCAST_SOURCES = 10_000
 
@@ -73,15 +75,17 @@ def _coin(tie: int, other: int) -> float:
     return ((x ^ (x >> 31)) >> 11) / 2**53
 
 
-def meet(size: list[int], p: list[float], tie: list[int]) -> list[float]:
-    """Pivotal rounding of one group: returns fractions, all 0 or 1 but one at most.
+def meet(size: list[int], p: list[float], tie: list[int], leave: int = OPEN) -> list[float]:
+    """Pivotal rounding of one group: returns fractions, all 0 or 1 but `leave` at most.
 
     Words d move from one document to the other, up to the room of both; with the two possible moves
     d1 (a up, b down) and d2 (a down, b up), the first has the chance d2 / (d1 + d2).
     """
     p = list(p)
-    a = -1
+    a, left = -1, sum(0.0 < x < 1.0 for x in p)
     for b in range(len(p)):
+        if left <= leave:
+            break
         if p[b] <= 0.0 or p[b] >= 1.0:
             continue
         if a < 0:
@@ -96,6 +100,7 @@ def meet(size: list[int], p: list[float], tie: list[int]) -> list[float]:
             full = p[a] * sa <= (1 - p[b]) * sb
             pa, pb = (0.0, p[b] + down / sb) if full else (p[a] - down / sa, 1.0)
         p[a], p[b] = (x if 1e-12 < x < 1 - 1e-12 else float(round(x)) for x in (pa, pb))
+        left -= (not 0.0 < p[a] < 1.0) + (not 0.0 < p[b] < 1.0)
         if not 0.0 < p[a] < 1.0:
             a = b if 0.0 < p[b] < 1.0 else -1
     return p
@@ -104,7 +109,7 @@ def meet(size: list[int], p: list[float], tie: list[int]) -> list[float]:
 def settle(size: list[int], p: list[float], width: int = 4_096) -> list[float]:
     """The last meeting of a source: up and down so that the words taken come next to the target.
 
-    At most one document by size class is open here.  From the largest on, sums of words are extended by
+    At most OPEN documents by size class are open here.  From the largest on, sums of words are extended by
     each document or not, and the `width` sums are kept whose reach lies nearest to what is wanted.
     """
     open_ = sorted((i for i, x in enumerate(p) if 0 < x < 1), key=lambda i: (-size[i], i))

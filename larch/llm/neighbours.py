@@ -176,7 +176,9 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = K, query_block:
     q, c = usable(queries), usable(candidates)
     dims = c.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     n_q, n_c = q.count(), sum(r["count"] for r in dims)
-    if dims:
+    if not dims:
+        q = q.limit(0)
+    else:
         q, c = q.filter(F.size("vec") == dims[0]["d"]), c.filter(F.size("vec") == dims[0]["d"])
     rows, cols = max(1, -(-n_q // query_block)), max(1, -(-n_c // candidate_block))
     deal = lambda n: F.pmod(F.xxhash64("id", F.lit(17)), F.lit(n))

@@ -25,7 +25,7 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: A repeat may take up at most so many words, or this share of the text if that is more.
-LONGEST_WORDS, LONGEST_SHARE = 100, 0.3
+LONGEST_WORDS, LONGEST_SHARE = 100, 0.05
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
