@@ -243,3 +243,24 @@ def describe(icons: DataFrame, slot_size: Callable[[int], int] | None = None) ->
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
     return icons.select("id", "item_id", "name", "image").mapInPandas(run, schema)
+
+
+def at_pitch(templates: DataFrame, slot: int, base: int = SLOT) -> DataFrame:
+    """Templates resampled from `base` to `slot` pixels a slot, masks by the nearest pixel; thin ones go.
+
+    A projection of the template table, batch by batch; persist the result for as long as the pitch lasts.
+    """
+    names = [x.split()[0] for x in TEMPLATES.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples():
+                shape = (r.h * base, r.w * base, 3)
+                vec = resize_area(np.asarray(r.vec, np.float64).reshape(shape), r.w * slot, r.h * slot).astype(np.float32).reshape(-1)
+                mask = resize_nearest(np.asarray(r.mask, np.float32).reshape(shape), r.w * slot, r.h * slot).reshape(-1)
+                if mask.sum() >= LEAST_MASK:
+                    rows.append((r.w, r.h, r.template, r.item_id, r.name, r.source, r.rotated, vec, mask))
+            yield pd.DataFrame(rows, columns=names)
+
+    return templates.select(*names).mapInPandas(run, TEMPLATES)

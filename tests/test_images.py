@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from larch.operators import images, panels, scans
+from larch.functions import predicates
+from larch.operators import association, images, panels, scans
 
 BACK, LINE = (40, 40, 42), (90, 90, 90)
 
@@ -136,3 +137,45 @@ def test_template_sources_and_descriptors(spark):
     assert {r["item_id"]: r["image"]["channels"] for r in out.collect()} == {"a": 4, "b": 3}
     d = images.describe(out.selectExpr("1L as id", "item_id", "name", "image")).first()
     assert (d["w"], d["h"], len(d["pool"]), len(d["vec"])) == (1, 1, 256, 64 * 64)
+
+
+def test_association(spark):
+    rng = np.random.default_rng(3)
+    a, b, wide = icon(rng, 1, 1), icon(rng, 1, 1), icon(rng, 2, 1)
+    pic = lambda x: (x.shape[0], x.shape[1], x.shape[2], x.tobytes())
+    image = "image struct<height:int,width:int,channels:int,data:binary>"
+    refs = spark.createDataFrame([(1, "a", "A", pic(a)), (2, "b", "B", pic(b)), (3, "w", "W", pic(wide))], f"id long, item_id string, name string, {image}")
+    files = spark.createDataFrame([("1.png", 5.0, pic(a)), ("2.png", 5.0, pic(wide)), ("3.png", 5.0, pic(icon(rng, 1, 1))), ("4.png", 5.0, pic(icon(rng, 3, 1))), ("5.png", 5.0, pic(b))], f"filename string, mtime double, {image}")
+    known = spark.createDataFrame([("5.png", "old", "Old", 0.9, 5.5, False, False, 1, 1, False), ("9.png", "gone", "Gone", 0.9, 5.0, False, False, 1, 1, False)], association.ROW)
+    exact = spark.createDataFrame([("3.png", "x")], "filename string, item_id string")
+    out = association.associate(files, refs, known, exact)
+    got = {r["filename"]: (r["item_id"], r["unknown"], r["exact"], r["W"]) for r in out.collect()}
+    assert got == {"1.png": ("a", False, False, 1), "2.png": ("w", False, False, 2), "3.png": ("x", False, True, 1), "4.png": (None, True, False, 3), "5.png": ("old", False, False, 1)}
+    assert {r["kind"]: r["n"] for r in association.counters(out).collect()} == {"strong": 3, "exact": 1, "unknown": 1}
+    items = spark.createDataFrame([("a", "A", None), ("w", "W", "red"), ("x", "X", None)], "id string, name string, colour string")
+    made = association.icon_templates(out, files, items, 32)
+    assert {(r["item_id"], r["source"], r["w"], r["h"]) for r in made.collect()} == {("a", "cache", 1, 1), ("w", "cache", 2, 1), ("w", "cache", 1, 2), ("x", "cache-exact", 1, 1)}
+    assert tuple(association.summary(made).first()) == (3, 5)
+    full = association.icon_templates(out, files, items)
+    small = images.at_pitch(full, 32)
+    assert small.count() == 5 and len(small.filter("item_id = 'w' and w = 2").first()["vec"]) == 2 * 32 * 32 * 3
+
+
+def test_small_reports(spark):
+    levels = spark.createDataFrame([(1,), (2,)], "level int")
+    assert association.next_level(levels, 1).first()["level"] == 2 and association.next_level(levels, 2).count() == 0
+    stations = spark.createDataFrame([("s", [("a",), ("b",)])], "name string, levels array<struct<id:string>>")
+    assert tuple(association.sections_done(stations, spark.createDataFrame([("a",), ("a",)], "id string")).first()) == ("s", 1, 2)
+    assert tuple(association.score_summary(spark.createDataFrame([(50.0,), (70.0,)], "score double")).first()) == (2, 50.0, 70.0, 60.0)
+
+
+def test_predicates(spark):
+    rows = spark.createDataFrame([(["gun", "x"], "red", "T"), (["mods"], None, "Q"), (None, "odd", None), ([], "", "T")], "types array<string>, colour string, trader string")
+    got = rows.select(predicates.is_target("types").alias("t"), predicates.tint_of("colour").alias("c"), predicates.badge_of("trader", {"T": (1, 2, 3)}).alias("b")).collect()
+    assert [r["t"] for r in got] == [False, True, True, True]
+    assert [r["c"] for r in got] == [[29, 32, 49]] + [[54, 54, 53]] * 3
+    assert [r["b"] for r in got] == [[1, 2, 3], [180, 120, 20], [180, 120, 20], [1, 2, 3]]
+    shapes = spark.createDataFrame([(1, 2, "s", "n"), (2, 2, "n", "n"), (1, 1, "", None)], "w int, h int, s string, n string").select(predicates.footprints("w", "h").alias("f"), predicates.names_of("s", "n").alias("n")).collect()
+    assert [len(r["f"]) for r in shapes] == [2, 1, 1] and [r["n"] for r in shapes] == [["s", "n"], ["n"], []]
+    active = spark.createDataFrame([(True, True), (False, False), (None, True)], "done boolean, req boolean").select(predicates.is_active("done", "req", True).alias("a"), predicates.is_active("done", "req", False).alias("b")).collect()
+    assert [tuple(r) for r in active] == [(False, False), (False, True), (True, True)]
