@@ -1,15 +1,17 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 Documents are sets of distinct 5-word shingles (lower-case A-Z).  Equal sets collapse first, on a
-128-bit digest of the set, into one node each.  Banded minhashes propose pairs; signatures are then
-compared in batches, and a pair is dropped as soon as the posterior chance of a similarity of at
-least 0.75 is below MISS; what survives is verified exactly on the full sets.  Connected components
-of the verified links give the classes.
-
-Pairs without all pairs of a bucket: in a first round every member of a bucket meets the bucket's
-smallest node only, which links nearly all true copies.  Components follow.  Then, in the buckets
-that still hold several components, every two members of different components that have not met do
-so.  So copies are linked through each other, and no link between different texts is lost to a cap.
+128-bit digest of the set, into one node each.  Banded minhashes put nodes into buckets.  Of two
+nodes of a bucket, signatures are compared in batches, and the pair is dropped as soon as the
+posterior chance of a similarity of at least 0.75 is below MISS; what survives is verified exactly on
+the full sets.  Connected components of the verified links give the classes.
+
+Pairs are never written out.  First every node of a bucket meets the bucket's smallest node only,
+which links most copies.  Components follow.  Then, in the buckets that still hold several components,
+nodes of different components meet: a bucket's nodes travel with their texts to one task (a large
+bucket's to a grid of block pairs of bounded size), which compares them there, each pair in the first
+band it shares only, and gives out the links that join components.  So no link between different texts
+is lost to a cap, and what travels is nodes, not pairs.
 
 Chance: with b = 50 bands of r = 5 rows a pair at exactly 0.75 shares no bucket with probability
 (1 - 0.75^5)^50 = 1.3e-6, and less when more similar; MISS is spent on top, once a batch.
@@ -27,7 +29,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larch.llm.common import cut, drop
@@ -41,7 +43,12 @@ HASHES = BANDS * ROWS
 #: Hashes compared at once, and the chance of dropping a true pair at one comparison.
 BATCH, MISS = 25, 1e-9
 
-_SETS = "doc_id long, f long, n_shingles long, fa long, fb long, sig binary"
+#: Nodes of a block, and rows of ids that may be broadcast (16 bytes each).
+BLOCK = 1_024
+BROADCAST_IDS = 1_000_000
+
+_SETS = "doc_id long, f long, n_shingles long, fa long, fb long, bands binary"
+_LINKS = "ad long, ak int, bd long, bk int"
 
 
 def _multipliers() -> np.ndarray:
@@ -77,6 +84,15 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def band_hashes(sig: np.ndarray) -> np.ndarray:
+    """(nodes, BANDS) hashes of the bands of signatures."""
+    rows = sig.astype(np.uint64).reshape(len(sig), BANDS, ROWS)
+    h = np.zeros((len(sig), BANDS), dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        h = mix(h ^ rows[:, :, k], 41 + k)
+    return h
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     multipliers = _multipliers()
     for batch in batches:
@@ -84,26 +100,32 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingle_sets(Words(*buffers(piece.column(2)), lower=True))
             fa = np.array([mix(x, 31).sum() if len(x) else 0 for x in sets], dtype=np.uint64)
             fb = np.array([mix(x, 32).sum() if len(x) else 0 for x in sets], dtype=np.uint64)
-            sig = [signature(x, multipliers).astype("<u4").tobytes() if len(x) else None for x in sets]
+            bands = band_hashes(np.stack([signature(x, multipliers) for x in sets])) if sets else []
+            bands = [h.tobytes() if len(x) else None for x, h in zip(sets, bands, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0), piece.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array(_signed(fa)), pa.array(_signed(fb)), pa.array(sig, pa.binary())],
-                names=["doc_id", "f", "n_shingles", "fa", "fb", "sig"],
+                [piece.column(0), piece.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array(_signed(fa)), pa.array(_signed(fb)), pa.array(bands, pa.binary())],
+                names=["doc_id", "f", "n_shingles", "fa", "fb", "bands"],
             )
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band hash, node, its size) for each band of each node."""
+    """(band hash, its number, node) for each band of each node."""
     for batch in batches:
         n = batch.num_rows
-        if not n:
-            continue
-        sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u4").astype(np.uint64).reshape(n, BANDS, ROWS)
-        with np.errstate(over="ignore"):
-            h = np.arange(BANDS, dtype=np.uint64)[None, :] + np.zeros((n, 1), dtype=np.uint64)
-            for k in range(ROWS):
-                h = mix(h ^ sig[:, :, k], 41 + k)
-        at = np.repeat(np.arange(n), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(h.reshape(-1))), *(batch.column(i).take(pa.array(at)) for i in (0, 1, 2))], names=["band", "d", "f", "n"])
+        if n:
+            h = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8")
+            at = pa.array(np.repeat(np.arange(n), BANDS))
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(h)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), batch.column(0).take(at), batch.column(1).take(at)], names=["band", "b", "d", "k"])
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) with the signature, 16 bits a hash."""
+    multipliers = _multipliers()
+    for batch in batches:
+        for piece in pieces(batch):
+            sets = shingle_sets(Words(*buffers(piece.column(2)), lower=True))
+            sig = [signature(x, multipliers).astype("<u2").tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(3)), pa.array(sig, pa.binary()), pa.array([len(x) for x in sets], pa.int64())], names=["d", "k", "text", "sig", "n"])
 
 
 def least_matches(batch: int = BATCH, hashes: int = HASHES, miss: float = MISS, t: float = NUMERATOR / 100) -> list[tuple[int, int]]:
@@ -121,54 +143,99 @@ def least_matches(batch: int = BATCH, hashes: int = HASHES, miss: float = MISS,
     return out
 
 
-def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs whose signatures never fall below the bound."""
+def links_of(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, band: int, sets) -> list[tuple[int, int]]:
+    """Links between components of one group: pairs of a left (side 0, 2) and a right (side 1, 2) node.
+
+    sig: uint16 signatures; n: set sizes; band: the group's band, -1 for none; sets(i): the set of node i.
+    A pair that shares an earlier band is left to that one.  Links that join no more are not looked for.
+    """
     bounds = least_matches()
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    root = {int(c): int(c) for c in np.unique(comp)}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    open_: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(1, 65_536 // max(1, len(right)))
+    for lo in range(0, len(left), step):
+        i, j = (x.reshape(-1) for x in np.meshgrid(left[lo : lo + step], right, indexing="ij"))
+        both = (side[i] == 2) & (side[j] == 2) & (i >= j)
+        ok = (comp[i] != comp[j]) & ~both & (100 * np.minimum(n[i], n[j]) >= NUMERATOR * np.maximum(n[i], n[j]))
+        i, j = i[ok], j[ok]
+        hits, done = np.zeros(len(i), dtype=np.int64), 0
+        for upto, least in bounds:
+            hits += (sig[i, done:upto] == sig[j, done:upto]).sum(axis=1)
+            ok = hits >= least
+            i, j, hits, done = i[ok], j[ok], hits[ok], upto
+        if band > 0 and len(i):
+            same = (sig[i, : band * ROWS] == sig[j, : band * ROWS]).reshape(len(i), band, ROWS)
+            ok = ~same.all(axis=2).any(axis=1)
+            i, j, hits = i[ok], j[ok], hits[ok]
+        open_.append((i, j, hits))
+    i, j, hits = (np.concatenate([x[k] for x in open_]) if open_ else np.zeros(0, np.int64) for k in range(3))
+    found = []
+    for at in np.argsort(-hits, kind="stable").tolist():
+        x, y = int(i[at]), int(j[at])
+        a, b = find(int(comp[x])), find(int(comp[y]))
+        if a != b and linked(sets(x), sets(y)):
+            root[a] = b
+            found.append((x, y))
+    return found
+
+
+def linked(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sets (sorted distinct hashes) are at least NUMERATOR / 100 alike, exactly."""
+    small, large = (p, q) if len(p) <= len(q) else (q, p)
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * both >= NUMERATOR * (len(p) + len(q) - both)
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, b, side, d, k, c, n, sig, text) sorted by key to links; one group is held at a time."""
+    key, held = None, []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        n, comp, side = (t[c].to_numpy() for c in ("n", "c", "side"))
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(len(n), HASHES)
+        texts, made = t["text"], {}
+
+        def sets(i: int) -> np.ndarray:
+            if i not in made:
+                made[i] = shingle_sets(Words(*buffers(pa.array([texts[i].as_py()])), lower=True))[0]
+            return made[i]
+
+        got = links_of(sig, n, comp, side, int(t["b"][0].as_py()), sets)
+        d, k = t["d"].combine_chunks(), t["k"].combine_chunks()
+        a, b = (pa.array([g[x] for g in got], pa.int64()) for x in (0, 1))
+        yield pa.RecordBatch.from_arrays([d.take(a), k.take(a), d.take(b), k.take(b)], names=["ad", "ak", "bd", "bk"])
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, HASHES) for i in (4, 5))
-        live, hits, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64), 0
-        for n, least in bounds:
-            hits[live] += (a[live, done:n] == b[live, done:n]).sum(axis=1)
-            live, done = live[hits[live] >= least], n
-        yield batch.select(["ad", "af", "bd", "bf"]).take(pa.array(live))
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs that are linked on their full sets."""
-    for batch in batches:
-        links = []
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            left, back = _distinct(part.column(4))
-            right, forth = _distinct(part.column(5))
-            for k, (x, y) in enumerate(zip(back, forth, strict=True)):
-                p, q = left[x], right[y]
-                small, large = (p, q) if len(p) <= len(q) else (q, p)
-                if 100 * len(small) < NUMERATOR * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                if 100 * both >= NUMERATOR * (len(p) + len(q) - both):
-                    links.append(i + k)
-        yield batch.select(["ad", "af", "bd", "bf"]).take(pa.array(links, pa.int64()))
-
-
-def _distinct(texts: pa.Array) -> tuple[list[np.ndarray], list[int]]:
-    coded = texts.dictionary_encode()
-    return shingle_sets(Words(*buffers(coded.dictionary), lower=True)), coded.indices.to_pylist()
+        keys = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi > lo:
+                if keys[lo] != key:
+                    if held:
+                        yield from close()
+                    key, held = keys[lo], []
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield from close()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(d, f, cd): each node of a link and the smallest d of its component; (cd, cf) is that component's node.
+    """(d, k, cd, ck): each node of a link, and the smallest node of its component.
 
     Alternating large-star and small-star steps over the edges, each two groupings by node; the edge
     list never grows, and a star is never gathered: only its minimum is.
     """
-    node = lambda p: F.struct(F.col(f"{p}d").alias("d"), F.col(f"{p}f").alias("f"))
+    node = lambda p: F.struct(F.col(f"{p}d").alias("d"), F.col(f"{p}k").alias("k"))
     edges = cut(links.select(node("a").alias("u"), node("b").alias("v")).filter("u <> v").distinct())
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.min("u")).alias("m")))
@@ -178,49 +245,25 @@ def components(links: DataFrame) -> DataFrame:
         floor = cut(large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")))
         small = large.join(floor, F.col("u") == F.col("x")).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         after = cut(small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct())
-        stars = after.select(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         for x in (edges, least, large, floor):
             drop(x)
         edges = after
-        if stars == before:
+        # Done when only stars are left: every node has one smaller neighbour, which has none itself.
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty():
             break
-        before = stars
     roots = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), "v").distinct())
-    return roots.select(F.col("u.d").alias("d"), F.col("u.f").alias("f"), F.col("v.d").alias("cd"), F.col("v.f").alias("cf"))
-
-
-_FITS = f"100 * least(an, bn) >= {NUMERATOR} * greatest(an, bn)"
+    return roots.select(F.col("u.d").alias("d"), F.col("u.k").alias("k"), F.col("v.d").alias("cd"), F.col("v.k").alias("ck"))
 
 
-def _pair(df: DataFrame) -> DataFrame:
-    """Orders each pair (ad, af) < (bd, bf), and keeps pairs of fitting sizes once."""
-    flip = "(bd < ad or (bd = ad and bf < af))"
-    df = df.filter("not (ad = bd and af = bf)").filter(_FITS)
-    pick = lambda x, y, to: F.expr(f"if({flip}, {y}, {x})").alias(to)
-    return df.select(pick("ad", "bd", "ad"), pick("af", "bf", "af"), pick("bd", "ad", "bd"), pick("bf", "af", "bf")).distinct()
+def _meet(groups: DataFrame, held: DataFrame) -> DataFrame:
+    """Links found in groups (key, b, side, d, k, c); held has the nodes' texts and signatures."""
+    rows = groups.join(held, ["d", "k"]).select("key", "b", "side", "d", "k", "c", "n", "sig", "text")
+    return cut(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_links, _LINKS))
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that pass the sequential test on signatures, and then the exact one."""
-    sig = lambda p: nodes.select(F.col("d").alias(f"{p}d"), F.col("f").alias(f"{p}f"), F.col("sig").alias(f"{p}sig"))
-    both = pairs.join(sig("b"), ["bd", "bf"]).join(sig("a"), ["ad", "af"]).select("ad", "af", "bd", "bf", "asig", "bsig")
-    alive = cut(both.mapInArrow(_prune, "ad long, af long, bd long, bf long"))
-    needed = alive.select(F.col("ad").alias("d"), F.col("af").alias("f")).unionByName(alive.select(F.col("bd").alias("d"), F.col("bf").alias("f"))).distinct()
-    # One pass over the texts, of which only those of open pairs travel on.
-    held = cut(texts.join(needed, ["d", "f"], "left_semi").dropDuplicates(["d", "f"]))
-    text = lambda p: held.select(F.col("d").alias(f"{p}d"), F.col("f").alias(f"{p}f"), F.col("text").alias(f"{p}text"))
-    full = alive.join(text("b"), ["bd", "bf"]).join(text("a"), ["ad", "af"]).select("ad", "af", "bd", "bf", "atext", "btext")
-    out = cut(full.mapInArrow(_verify, "ad long, af long, bd long, bf long"))
-    drop(alive)
-    drop(held)
-    return out
-
-
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets with their component; a node of no link is its own."""
-    own = labels.select(F.col("d").alias("xd"), F.col("f").alias("xf"), "cd", "cf")
-    out = members.drop("cd", "cf").join(own, (F.col("d") == F.col("xd")) & (F.col("f") == F.col("xf")), "left").drop("xd", "xf")
-    return out.withColumn("cf", F.when(F.col("cd").isNull(), F.col("f")).otherwise(F.col("cf"))).withColumn("cd", F.coalesce("cd", "d"))
+def _name(d: str, k: str) -> Column:
+    return F.xxhash64(d, k)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -230,42 +273,51 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("f"), "text")
     sets = cut(rows.mapInArrow(_sets, _SETS))
-    # Nodes: one by set; its smallest (doc_id, hash of the text) names it.
+    # Nodes: one by set; its smallest (doc_id, hash of the text) stands for it, and k tells nodes of one doc_id apart.
     keys = ["n_shingles", "fa", "fb"]
     owners = sets.filter("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min(F.struct("doc_id", "f")).alias("o"))
-    owners = cut(owners.select(*keys, F.col("o.doc_id").alias("d"), F.col("o.f").alias("f")))
-    own = sets.withColumnRenamed("doc_id", "d").join(owners, [*keys, "d", "f"], "left_semi")
-    nodes = cut(own.groupBy("d", "f").agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
-    bands = nodes.mapInArrow(_bands, "band long, d long, f long, n long")
+    owners = owners.select(*keys, F.col("o.doc_id").alias("d"), F.col("o.f").alias("f"))
+    owners = cut(owners.withColumn("k", (F.row_number().over(Window.partitionBy("d").orderBy("f", *keys)) - 1).cast("int")))
+    own = sets.select(F.col("doc_id").alias("d"), "f", "bands").join(owners.select("d", "f", "k"), ["d", "f"])
+    nodes = own.groupBy("d", "k").agg(F.first("bands").alias("bands"))
+    bands = nodes.mapInArrow(_bands, "band long, b int, d long, k int")
     size = F.count(F.lit(1)).alias("m")
-    buckets = cut(bands.groupBy("band").agg(size, F.min(F.struct("d", "f", "n")).alias("hub")).filter("m > 1").select("band", "hub"))
-    members = bands.join(buckets, "band").select("band", "d", "f", "n", F.col("hub.d").alias("hd"), F.col("hub.f").alias("hf"), F.col("hub.n").alias("hn"))
-    members = cut(members)
+    bands = cut(bands)
+    buckets = cut(bands.groupBy("band").agg(size, F.min(F.struct("d", "k")).alias("hub")).filter("m > 1"))
+    members = cut(bands.join(buckets, "band").select("band", "b", "d", "k", "m", F.col("hub.d").alias("hd"), F.col("hub.k").alias("hk")))
+    drop(bands)
     drop(buckets)
-    texts = rows.withColumnRenamed("doc_id", "d")
-    star = members.select(F.col("d").alias("ad"), F.col("f").alias("af"), F.col("n").alias("an"), F.col("hd").alias("bd"), F.col("hf").alias("bf"), F.col("hn").alias("bn"))
-    tested = cut(_pair(star))
-    links = _linked(tested, nodes, texts)
+    # Texts and signatures of nodes that share a bucket with another.
+    needed = members.select("d", "k").distinct().join(owners.select("d", "k", "f"), ["d", "k"])
+    needed = cut(needed)
+    few = needed.count() <= BROADCAST_IDS
+    texts = rows.withColumnRenamed("doc_id", "d").join(F.broadcast(needed) if few else needed, ["d", "f"]).select("d", "k", "text")
+    held = cut(texts.mapInArrow(_signatures, "d long, k int, text string, sig binary, n long").dropDuplicates(["d", "k"]))
+    # First meeting: each node with the smallest of its buckets, the hub, which is copied to each block.
+    star = members.filter("not (d = hd and k = hk)").select("hd", "hk", "d", "k").distinct()
+    blocks = star.groupBy("hd", "hk").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    star = star.join(blocks, ["hd", "hk"]).withColumn("at", F.pmod(_name("d", "k"), F.col("nb")).cast("int"))
+    hubs = blocks.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("hd", "hk", "at", F.lit(0).alias("side"), F.col("hd").alias("d"), F.col("hk").alias("k"))
+    groups = star.select("hd", "hk", "at", F.lit(1).alias("side"), "d", "k").unionByName(hubs)
+    links = _meet(groups.select(F.xxhash64("hd", "hk", "at").alias("key"), F.lit(-1).alias("b"), "side", "d", "k", _name("d", "k").alias("c")), held)
     labels = cut(components(links))
-    # Buckets that still hold several components: the largest one's members are met by all others, these by each other.
-    labelled = _labelled(members.select("band", "d", "f", "n"), labels)
-    kinds = labelled.groupBy("band", "cd", "cf").agg(size)
-    top = Window.partitionBy("band").orderBy(F.desc("m"), "cd", "cf")
-    kinds = kinds.withColumn("place", F.row_number().over(top)).withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("band")))
-    mixed = cut(labelled.join(kinds.filter("kinds > 1").select("band", "cd", "cf", "place"), ["band", "cd", "cf"]))
-    small = mixed.filter("place > 1").select("band", *(F.col(c).alias(f"a{c}") for c in ("d", "f", "n", "place")))
-    every = mixed.select("band", *(F.col(c).alias(f"b{c}") for c in ("d", "f", "n", "place")))
-    met = small.join(every, "band").filter("bplace < aplace").filter(_FITS)
-    fresh = cut(_pair(met.select("ad", "af", "an", "bd", "bf", "bn")).join(tested, ["ad", "af", "bd", "bf"], "left_anti"))
-    for x in (mixed, members, tested):
-        drop(x)
-    if not fresh.isEmpty():
-        more = _linked(fresh, nodes, texts)
-        if not more.isEmpty():
-            labels = cut(components(links.unionByName(more)))
-    drop(nodes)
-    named = owners.join(labels.select("d", "f", "cd", "cf"), ["d", "f"], "left").select(*keys, F.coalesce("cd", "d").alias("cd"), F.when(F.col("cd").isNull(), F.col("f")).otherwise(F.col("cf")).alias("cf"))
-    named = cut(named)
+    # Second meeting: in buckets of several components, all but the largest component's nodes with all of other components.
+    own = labels.select(F.col("d").alias("xd"), F.col("k").alias("xk"), _name("cd", "ck").alias("xc"))
+    labelled = members.join(own, (F.col("d") == F.col("xd")) & (F.col("k") == F.col("xk")), "left").select("band", "b", "d", "k", "m", F.coalesce("xc", _name("d", "k")).alias("c"))
+    kinds = labelled.groupBy("band", "c").agg(F.count(F.lit(1)).alias("mc")).groupBy("band").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    mixed = labelled.join(kinds.select("band"), "band", "left_semi")
+    nb = F.ceil(F.col("m") / BLOCK).cast("int")
+    mixed = mixed.withColumn("nb", nb).withColumn("at", F.pmod(_name("d", "k"), F.col("nb")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    side = F.when(F.col("at") == F.col("to"), 2).when(F.col("at") < F.col("to"), 0).otherwise(1)
+    groups = mixed.select(F.xxhash64("band", F.least("at", "to"), F.greatest("at", "to")).alias("key"), "b", side.alias("side"), "d", "k", "c")
+    more = _meet(groups, held)
+    if not more.isEmpty():
+        labels = cut(components(links.unionByName(more)))
+    drop(members)
+    drop(held)
+    named = owners.join(labels.select("d", "k", "cd", "ck"), ["d", "k"], "left").select(*keys, F.coalesce("cd", "d").alias("cd"), F.coalesce("ck", "k").alias("ck"))
+    roots = owners.select(F.col("d").alias("rd"), F.col("k").alias("rk"), F.col("f").alias("cf"))
+    named = cut(named.join(roots, (F.col("cd") == F.col("rd")) & (F.col("ck") == F.col("rk"))).select(*keys, "cd", "cf"))
     return sets.select("doc_id", "f", *keys).join(named, keys, "left").select("doc_id", "f", "n_shingles", "cd", "cf")
 
 
@@ -283,6 +335,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     first = classes(docs).filter(alone | ((F.col("doc_id") == F.col("cd")) & (F.col("f") == F.col("cf"))))
     first = first.select(F.col("doc_id").alias("_d"), F.col("f").alias("_f"), alone.alias("_alone")).distinct()
-    rows = docs.withColumn("_h", F.xxhash64("text")).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_f")))
+    # The row travels as one struct, so its columns' names clash with none here.
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h"), F.struct(*docs.columns).alias("_r"))
+    rows = rows.join(first, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_f")))
     rows = rows.withColumn("_row", F.when(F.col("_alone"), F.monotonically_increasing_id()).otherwise(0))
-    return rows.dropDuplicates(["_d", "_f", "_row"]).select(*docs.columns)
+    return rows.dropDuplicates(["_d", "_f", "_row"]).select("_r.*")
