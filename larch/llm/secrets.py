@@ -172,9 +172,11 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def training_set(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """(features, labels): the built-in examples and at most `rows` labelled candidates of each label."""
     found = cut(docs.select(F.col("text").cast("string").alias("text")).filter("text is not null").mapInArrow(_labelled, "y int, h long, x array<double>"))
+    # Hashes spread evenly over 32 bits, so a bound on them leaves few rows to sort, from however many tasks.
+    counts = {r["y"]: r["count"] for r in found.groupBy("y").count().collect()}
     x, y = [], []
     for value, examples in ((1, BUILT_IN[0]), (0, BUILT_IN[1])):
-        got = [r["x"] for r in found.filter(F.col("y") == value).orderBy("h", "x").limit(rows).collect()]
+        got = [r["x"] for r in found.filter((F.col("y") == value) & (F.col("h") < 2**32 * min(1.0, 2 * rows / max(1, counts.get(value, 0))))).orderBy("h", "x").limit(rows).collect()]
         got += [features(*e) for e in examples]
         x += got
         y += [value] * len(got)
