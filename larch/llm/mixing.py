@@ -181,8 +181,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 def repeat(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """docs with each row as often as the mix takes it (rows of no words stay as they are), all columns kept."""
     took = mix_sources(docs, weights, most).groupBy(F.col("doc_id").alias("_d"), F.col("tie").alias("_t")).agg(F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).alias("_n"))
-    rows = docs.withColumn("_tie", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    rows = rows.join(took, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t"))).filter("_n > 0")
+    # The row travels as one struct, so its columns' names clash with none here.
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("_tie"), F.struct(*docs.columns).alias("_r"))
+    rows = rows.join(took, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t"))).filter("_n > 0")
     # Equal rows share a count, which the first of them carries.
     rows = rows.dropDuplicates(["_d", "_t"])
-    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(*docs.columns)
+    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select("_r.*")

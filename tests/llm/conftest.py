@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -32,7 +33,7 @@ def documents(spark, rng):
     rows = [(i, t) for i, t in enumerate(texts)] + [(200 + i, t) for i, t in enumerate(texts[:10])]
     rows += [(None, texts[0]), (None, None), (300, None), (301, ""), (302, " \n\t"), (303, "a B"), (3, texts[20]), (3, texts[20]), (304, "ÄÖ ñ 漢字 🙂 \x0b z")]
     rows = [(i, t, ["src1", "src0", None, "zz"][k % 4], "en", len(t or ""), k) for k, (i, t) in enumerate(rows)]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, tie int")
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, tie int").withColumn("_d", F.lit(1)).withColumn("_n", F.lit("x")).withColumn("key", F.lit(None).cast("int"))
 
 
 @pytest.fixture

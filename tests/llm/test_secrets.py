@@ -32,7 +32,7 @@ def test_held_out_accuracy(spark):
 def test_redaction(spark, documents, nothing):
     forest = secrets.train(documents)
     secret = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
-    table = documents.unionByName(spark.createDataFrame([(900, f'x token = "{secret}" y', "s", "en", 0, 1)], documents.schema))
+    table = documents.unionByName(spark.createDataFrame([(900, f'x token = "{secret}" y', "s", "en", 0, 1, 1, "x", None)], documents.schema))
     out = secrets.redact(table, forest)
     assert out.schema == table.schema
     after = {(r["doc_id"], r["tie"]): r for r in out.collect()}
