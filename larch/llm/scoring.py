@@ -71,7 +71,14 @@ class Codes:
 def corpus_codes(docs: DataFrame) -> tuple[Codes, np.ndarray]:
     """The codes, and the corpus' count of each code, over all words of docs."""
     counts = cut(docs.select("doc_id", "text").mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
-    top = counts.orderBy(F.desc("n"), "h").limit(OWN).collect()
+    # How many words there are by power of two of their count tells how rare a word can be among the first OWN;
+    # so few rows are sorted and sent, from however many tasks.
+    level, seen = 0, 0
+    for r in sorted(counts.groupBy(F.length(F.bin("n")).alias("level")).count().collect(), key=lambda r: -r["level"]):
+        level, seen = r["level"], seen + r["count"]
+        if seen >= OWN:
+            break
+    top = counts.filter(F.length(F.bin("n")) >= level).orderBy(F.desc("n"), "h").limit(OWN).collect()
     codes = Codes(np.array([r["h"] for r in top], dtype=np.int64).view(np.uint64))
     total = np.zeros(CODES)
     total[: len(top)] = [r["n"] for r in top]
