@@ -1,7 +1,7 @@
 """Substring dedup by super-k-mers.
 
 A window is 20 consecutive words of one document.  Its minimiser is the smallest hash among its
-5-word runs; consecutive windows with one minimiser form a super-k-mer, which travels as one packed
+3-word runs; consecutive windows with one minimiser form a super-k-mer, which travels as one packed
 string of words to the bucket of the minimiser.  So all windows with the same words meet in one
 bucket, while words are sent about 3 times and not 20.  In a bucket windows are sorted by hash;
 equal hashes are confirmed byte by byte, and all but the earliest (doc_id, then start) are repeats.
@@ -33,10 +33,11 @@ from larch.llm.common import cut, drop
 from larch.llm.words import Words, buffers, mix, pieces, sliding_min, windows
 
 WINDOW = 20
-MINIMISER = 5
-#: Text that one step holds; super-k-mers that one bucket is to hold; a minimiser with more than
+MINIMISER = 3
+#: Text that one step holds; level of compression; super-k-mers that one bucket is to hold; a minimiser with more than
 #: HOT_LEAST and a share of 1 / HOT_MOST of them is split up.
 PIECE = 8 << 20
+LEVEL = 6
 BUCKET = 60_000
 HOT_LEAST, HOT_MOST = 4_096, 1 << 20
 _NO_ID = -(2**63)
@@ -155,7 +156,7 @@ def _pack(hot: np.ndarray, buckets: int):
 
 
 def _zip(x: bytes) -> bytes:
-    return len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True)
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(x, asbytes=True)
 
 
 def _unzip(x: bytes) -> bytes:
