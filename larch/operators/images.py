@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Canonical slot, blanked strip and corner, background and its tints (BGR), thresholds.
+from larch.functions.predicates import TINTS
+
+#: Canonical slot, blanked strip and corner, background (BGR), thresholds.
 SLOT, STRIP, CORNER, POOL = 64, 13, 18, 16
 BACKGROUND, NEUTRAL = (38, 42, 44), (54, 54, 53)
-TINTS = {"black": (20, 19, 19), "grey": (30, 29, 28), "default": (54, 54, 53), "blue": (45, 39, 29), "violet": (41, 29, 38), "yellow": (33, 48, 47), "green": (24, 34, 27), "orange": (24, 30, 37), "red": (29, 32, 49)}
 ALPHA, SATURATION, WHITE_CLIP, LEAST_MASK = 32, 12, 210, 16
 EMPTY_GREY, EMPTY_SHARE, EMPTY_SPREAD, EMPTY_EDGE = 58, 0.04, 5.0, 4
 BRIGHT, BRIGHT_SATURATION, MARK_PIXELS, MARK_SHARE, MARK_SCALE = 170, 60, 6, 0.5, 63.0
