@@ -36,7 +36,7 @@ WINDOW = 20
 MINIMISER = 3
 #: Text that one step holds; level of compression; super-k-mers that one bucket is to hold; a minimiser with more than
 #: HOT_LEAST and a share of 1 / HOT_MOST of them is split up.
-PIECE = 8 << 20
+PIECE = 4 << 20
 LEVEL = 6
 BUCKET = 60_000
 HOT_LEAST, HOT_MOST = 4_096, 1 << 20
