@@ -6,13 +6,17 @@ masked out; a document's score is the sum of the conditional log-probabilities o
 Words and codes: counts of all words of the corpus (one grouped count) give the most frequent ones a
 code each; the rest share hash codes.  A code is (high, low) of 64 x 64, and the network predicts the
 high part and then the low part given it, so the distribution over all codes is exact and costs two
-softmaxes of 64.
+softmaxes of 64.  Within a shared code a word has its share of the code's count in the corpus, so what is
+scored is the word and not its code: P(word) = P(code) x count(word) / (count(code) + UNSEEN).  Words that
+the corpus doesn't have share the rest, UNSEEN / (count(code) + UNSEEN), as one event a code.  Counts of the
+KNOWN most frequent words travel with the tasks; all others are joined by hash from the table of counts,
+which is as long as the vocabulary.
 
 Training covers every word of the table.  Each task starts from the same network, whose biases are
 the corpus' own frequencies, passes once over its words in numpy (Adagrad), and gives out the weighted
 change of all parameters in chunks; a reduction tree sums the chunks, and the network moves by their
 mean.  So what is gathered grows with the input (a change of about 0.6 MB a task, and the counts),
-while the driver holds one network and the list of frequent words, both of fixed size.
+while the driver holds one network and the KNOWN words, both of fixed size.
 
 Defined cases: a null or empty text has no words and a log-probability of 0 (mean null); one word
 alone is predicted from padding only; a null doc_id is carried through; repeated rows are scored each
@@ -37,10 +41,13 @@ CODES = SIDE * SIDE
 #: Codes shared by hash (a power of two); the others belong to one word each.
 SHARED = 512
 OWN = CODES - SHARED
+#: Words whose counts are held in every task (16 bytes each), and the count that unseen words of a code share.
+KNOWN, UNSEEN = 1 << 17, 0.5
+#: Logarithms of counts are added as whole numbers of 1 / GRID, so that their order doesn't matter.
+GRID = 2.0**32
 WIDTH = 16
 RATE, BATCH = 0.05, 4_096
 CHUNK, FAN_IN = 4_096, 64
-SCORES = "doc_id long, n_words long, log_prob double, mean_log_prob double"
 _PAD = CODES
 _ONES = np.ones(SIDE, np.float32)
 
@@ -53,12 +60,23 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Codes:
-    """Codes of word hashes: rank by count for the frequent ones, shared codes for the rest."""
+    """Codes of word hashes: rank by count for the frequent ones, shared codes for the rest; and the word within its code.
 
-    def __init__(self, frequent: np.ndarray):
+    words and n: the most frequent words and their counts; counts: of each code; table: h and n of the words
+    beyond these (None if there are none), for the driver only.
+    """
+
+    def __init__(self, words: np.ndarray, n: np.ndarray, counts: np.ndarray, table: DataFrame | None = None):
+        frequent = words[:OWN]
         code = np.arange(len(frequent))
         order = np.argsort(frequent)
         self.hashes, self.code = frequent[order], code[order].astype(np.int64)
+        order = np.argsort(words)
+        self.known, self.log_n = words[order], np.log(n[order].astype(float))
+        self.log_code, self.table, self.complete = np.log(counts + UNSEEN), table, table is None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         rest = OWN + (h % np.uint64(SHARED)).astype(np.int64)
@@ -67,29 +85,45 @@ class Codes:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, self.code[at], rest)
 
-
-def corpus_codes(docs: DataFrame) -> tuple[Codes, np.ndarray]:
-    """The codes, and the corpus' count of each code, over all words of docs."""
+    def within(self, h: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log-probability of each word within its code, whether log(count) is still to be added from the table)."""
+        shared = np.flatnonzero(code >= OWN)
+        log, left = np.zeros(len(h)), np.zeros(len(h), dtype=bool)
+        x = h[shared]
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, x), len(self.known) - 1)
+            hit = self.known[at] == x
+            value = np.where(hit, self.log_n[at], np.log(UNSEEN) if self.complete else 0.0)
+        else:
+            hit, value = np.zeros(len(x), dtype=bool), np.full(len(x), np.log(UNSEEN) if self.complete else 0.0)
+        log[shared] = value - self.log_code[code[shared]]
+        left[shared] = ~hit & (not self.complete)
+        return log, left
+
+
+def corpus_codes(docs: DataFrame, known: int = KNOWN) -> tuple[Codes, np.ndarray]:
+    """The codes, and the corpus' count of each code, over all words of docs; known: see KNOWN, OWN at least."""
     counts = cut(docs.select("doc_id", "text").mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
-    # How many words there are by power of two of their count tells how rare a word can be among the first OWN;
+    # How many words there are by power of two of their count tells how rare a word can be among the first ones;
     # so few rows are sorted and sent, from however many tasks.
     level, seen = 0, 0
     for r in sorted(counts.groupBy(F.length(F.bin("n")).alias("level")).count().collect(), key=lambda r: -r["level"]):
         level, seen = r["level"], seen + r["count"]
-        if seen >= OWN:
+        if seen >= known:
             break
-    top = counts.filter(F.length(F.bin("n")) >= level).orderBy(F.desc("n"), "h").limit(OWN).collect()
-    codes = Codes(np.array([r["h"] for r in top], dtype=np.int64).view(np.uint64))
+    top = counts.filter(F.length(F.bin("n")) >= level).orderBy(F.desc("n"), "h").limit(known).toArrow()
+    h, n = (top.column(c).to_numpy() for c in ("h", "n"))
     total = np.zeros(CODES)
-    total[: len(top)] = [r["n"] for r in top]
+    total[: min(len(n), OWN)] = n[:OWN]
     share = F.col("h").bitwiseAND(F.lit(SHARED - 1))  # as the unsigned hash modulo SHARED
-    if len(top) == OWN:
-        last = top[-1]
-        rest = counts.filter((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("h") > last["h"])))
-        for r in rest.groupBy(share.cast("int").alias("k")).agg(F.sum("n").alias("n")).collect():
+    after = lambda k: (F.col("n") < int(n[k - 1])) | ((F.col("n") == int(n[k - 1])) & (F.col("h") > int(h[k - 1])))
+    if len(n) >= OWN:
+        for r in counts.filter(after(OWN)).groupBy(share.cast("int").alias("k")).agg(F.sum("n").alias("n")).collect():
             total[OWN + r["k"]] = r["n"]
-    drop(counts)
-    return codes, total
+    table = counts.filter(after(known)) if len(n) == known else None
+    if table is None:
+        drop(counts)
+    return Codes(h.view(np.uint64), n, total, table), total
 
 
 class Network:
@@ -169,15 +203,16 @@ class Network:
         return self
 
 
-def _sequence(piece: pa.RecordBatch, codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes with HALF pads before, between and after texts, places of the real ones, first word of each text)."""
+def _sequence(piece: pa.RecordBatch, codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes with HALF pads before, between and after texts, places of the real ones, first word of each text, hashes)."""
     words = Words(*buffers(piece.column(1)))
-    code = codes(words.hashes())
+    h = words.hashes()
+    code = codes(h)
     text = np.repeat(np.arange(len(words.counts)), words.counts)
     place = np.arange(len(code)) + HALF * (text + 1)
     full = np.full(len(code) + HALF * (len(words.counts) + 1), _PAD, dtype=np.int64)
     full[place] = code
-    return full, place, words.first
+    return full, place, words.first, h
 
 
 _AROUND = np.array([*range(-HALF, 0), *range(1, HALF + 1)])
@@ -190,7 +225,7 @@ def _trained(network: Network, codes: Codes):
         start, power, seen = network.flat(), {k: np.full(v.shape, 1e-4, np.float32) for k, v in own.p.items()}, 0
         for batch in batches:
             for piece in pieces(batch):
-                full, place, _ = _sequence(piece, codes)
+                full, place, *_ = _sequence(piece, codes)
                 # Every word once, in an order that mixes the piece's texts.
                 place = place[np.random.default_rng(len(place)).permutation(len(place))]
                 for lo in range(0, len(place), BATCH):
@@ -255,21 +290,37 @@ def train(docs: DataFrame, rounds: int = 1) -> tuple[Network, Codes]:
 
 def _scored(network: Network, codes: Codes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        row = (context.partitionId() if context else 0) << 36
         for batch in batches:
             for piece in pieces(batch):
-                full, place, first = _sequence(piece, codes)
+                full, place, first, h = _sequence(piece, codes)
+                within, left = codes.within(h, full[place])
                 log = np.zeros(len(place) + 1)
                 for lo in range(0, len(place), BATCH):
                     at = place[lo : lo + BATCH]
                     log[lo + 1 : lo + 1 + len(at)] = network.forward(full[at[None, :] + _AROUND[:, None]], full[at])[0]
+                log[1:] += within
                 n = np.diff(first)
                 total = np.diff(np.cumsum(log)[first])
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(total), mean], names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
+                ends = np.concatenate([[0], np.cumsum(left)])[first]
+                rest = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h[left].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(n))), piece.column(0).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(total), rest], names=["row", "doc_id", "n_words", "log_prob", "rest"])
+                row += len(n)
 
     return run
 
 
 def score(docs: DataFrame, model: tuple[Network, Codes] | None = None) -> DataFrame:
     """doc_id, n_words, log_prob and mean_log_prob of each row of docs (doc_id, text)."""
-    return docs.select("doc_id", "text").mapInArrow(_scored(*(model or train(docs))), SCORES)
+    network, codes = model or train(docs)
+    out = docs.select("doc_id", "text").mapInArrow(_scored(network, codes), "row long, doc_id long, n_words long, log_prob double, rest array<long>")
+    if codes.table is not None:
+        # The rare words of the texts meet their counts; rows are numbered by task, so they are written before they are used twice.
+        out = cut(out)
+        rare = out.select("row", F.explode("rest").alias("h")).join(codes.table, "h", "left")
+        log_n = F.round(F.log(F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN))) * GRID).cast("long")
+        added = rare.groupBy("row").agg((F.sum(log_n) / GRID).alias("added"))
+        out = out.drop("rest").join(added, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("added", F.lit(0.0)))
+    mean = F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))
+    return out.select("doc_id", "n_words", "log_prob", mean.alias("mean_log_prob"))

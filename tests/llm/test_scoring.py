@@ -62,3 +62,23 @@ def test_counts_cover_all_words(documents):
 
     _, counts = scoring.corpus_codes(documents)
     assert counts.sum() == sum(len(words(r["text"])) for r in documents.collect())
+
+
+def test_words_of_shared_codes_are_told_apart(spark):
+    # More words than codes, so that most share one; scores of single words must be a distribution over all of them.
+    many = [f"v{i}" for i in range(scoring.OWN + 2000)]
+    text = lambda i: " ".join([many[i]] * (1 + (len(many) - i) // 500))
+    docs = spark.createDataFrame([(i, text(i)) for i in range(len(many))], "doc_id long, text string")
+    single = spark.createDataFrame([(i, w) for i, w in enumerate(many)] + [(-1, "neverseenword")], "doc_id long, text string")
+    results = []
+    for known in (scoring.OWN, scoring.OWN + 700, scoring.KNOWN):  # counts by join, by both, held in the tasks
+        codes, counts = scoring.corpus_codes(docs, known)
+        assert (codes.table is None) == (known == scoring.KNOWN)
+        got = {r["doc_id"]: r["log_prob"] for r in scoring.score(single, (scoring.Network(counts), codes)).collect()}
+        total = sum(np.exp(p) for i, p in got.items() if i >= 0)
+        assert 0.8 < total <= 1 + 1e-3  # the rest is unseen words' and the padding of unused codes
+        assert got[scoring.OWN + 10] > got[len(many) - 1] + 0.5  # more often in the corpus, likelier
+        assert got[-1] < got[len(many) - 1]
+        results.append(got)
+    for other in results[1:]:
+        assert max(abs(results[0][i] - other[i]) for i in results[0]) < 1e-6
