@@ -1,8 +1,12 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Every line of a file that names a licence (header or not) is a unit, and so is the whole text of such
-a file.  Units and templates become sparse TF-IDF vectors; document frequencies come from all units of
-the table and the templates.  A file's own licence is the best template of its lines; a file whose
+Units are all windows of 1 to WINDOW consecutive lines (those without words don't count), so a header
+may be wrapped, and the whole text.  Units and templates become sparse TF-IDF vectors; document
+frequencies come from all lines of the table and the templates.  Only units that can reach the least
+cosine leave the scan: the product with a template needs the frequencies of the templates' words only,
+and any other word weighs at least its count, which bounds the cosine from above.  An SPDX identifier is
+one word with its tag, so it matches as a whole or not.  A file's own licence is the best template of its
+windows; a file whose
 whole text is like a template (or whose name says so) is a licence file and speaks for its directory.
 Files without an own licence take that of the nearest directory above them that has one: ancestors
 are spelled out once per distinct directory, joined on the path, and the deepest match wins.
@@ -18,10 +22,19 @@ whole; empty tables give no rows; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larch.llm.common import cut
+from larch.llm.words import pieces
 
 #: Names and public header statements of licences.
 TEMPLATES = (
@@ -38,43 +51,114 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    *((name.removesuffix("-only").removesuffix("-or-later"), f"SPDX-License-Identifier: {name}") for name in ("Apache-2.0", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "MIT", "MPL-2.0")),
 )
-#: A line with one of these (in lower case) is a unit.
+#: Most lines of a window.
+WINDOW = 6
+#: A text with one of these (in lower case) is judged whole whatever its bound, for files whose name says that they are licences.
 ANCHORS = ("licens", "licenc", "copyright", "spdx", "redistribut", "permission is hereby")
 FILE_NAMES = "(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
 #: Least cosine of an own licence, and of a licence file's whole text.
 LINE_COSINE, FILE_COSINE = 0.6, 0.5
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9.+-]+"), lambda w: F.rtrim(w, F.lit(".")) != "")
-
-
-def _bag(units: DataFrame) -> DataFrame:
-    """unit keys, word, tf; words without the full stop behind them."""
-    keys = [c for c in units.columns if c != "unit_text"]
-    words = units.select(*keys, F.explode(_words(F.col("unit_text"))).alias("word"))
-    return words.withColumn("word", F.rtrim(F.col("word"), F.lit("."))).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate(TEMPLATES)], "t int, licence string, unit_text string")
+_WORD = re.compile(r"(?:spdx-license-identifier=)?[a-z0-9.+-]*[a-z0-9][a-z0-9.+-]*")
+_SPDX = re.compile(r"spdx-license-identifier:[ \t]*\(?")
+
+
+def _words(line: str) -> list[str]:
+    """Words of a line in lower case, without full stops behind them; an SPDX identifier and its tag are one."""
+    if "spdx-" in line:
+        line = _SPDX.sub("spdx-license-identifier=", line)
+    return [w.rstrip(".") for w in _WORD.findall(line)]
+
+
+def _lines(text: str) -> list[list[str]]:
+    return [w for w in map(_words, text.lower().split("\n")) if w]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many lines hold each word, by piece; the number of lines itself stands at the empty word."""
+    for batch in batches:
+        for piece in pieces(batch, limit=8 << 20):
+            counts = Counter()
+            for text in piece.column(0).to_pylist():
+                lines = _lines(text or "")
+                counts[""] += len(lines)
+                for words in lines:
+                    counts.update(set(words))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "df"])
+
+
+def _units(idf: dict[str, float], limits: tuple[float, float]):
+    """Units whose cosine to a template may reach limits (windows, whole texts), given the idf of the templates' words."""
+    bags = [Counter(_words(t.lower())) for _, t in TEMPLATES]
+    weights = np.array([[bag[w] * idf[w] for w in idf] for bag in bags])
+    unit = weights / np.linalg.norm(weights, axis=1)[:, None]
+    at = {w: k for k, w in enumerate(idf)}
+    weight = np.array(list(idf.values()))
+    # By Cauchy and Schwarz a cosine is at most the root of the summed squares of the template's words that the unit has.
+    most = dict(zip(idf, (unit * unit).max(axis=0).tolist(), strict=True))
+    vocabulary = set(idf)
+
+    def bound(tf: Counter) -> float:
+        shared = [w for w in tf if w in at]
+        k, n = [at[w] for w in shared], np.array([tf[w] for w in shared], dtype=float)
+        x = n * weight[k]
+        other = sum(c * c for w, c in tf.items() if w not in at)
+        return float((unit[:, k] @ x).max() / math.sqrt(x @ x + other)) if shared else 0.0
+
+    def of(text: str) -> Iterator[tuple[bool, list[str]]]:
+        lines, low = _lines(text), text.lower()
+        hits = [vocabulary.intersection(x) for x in lines]
+        part = [sum(most[w] for w in x) for x in hits]
+        seen = set()
+        for i in range(len(lines)):
+            # A window that starts or ends with a line without words of templates is less like them than without that line.
+            if not part[i]:
+                continue
+            mass, words = 0.0, []
+            for j in range(i, min(i + WINDOW, len(lines))):
+                mass += part[j]
+                words = words + lines[j]
+                if part[j] and mass >= limits[0] ** 2 - 1e-9 and bound(Counter(words)) >= limits[0] - 1e-9 and tuple(words) not in seen:
+                    seen.add(tuple(words))
+                    yield False, words
+        if sum(part) >= limits[1] ** 2 - 1e-9 or any(a in low for a in ANCHORS):
+            words = [w for x in lines for w in x]
+            if words and (any(a in low for a in ANCHORS) or bound(Counter(words)) >= limits[1] - 1e-9):
+                yield True, words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                found = [(i, w, x) for i, text in enumerate(piece.column(1).to_pylist()) for w, x in of(text or "")]
+                rows = piece.column(0).take(pa.array([f[0] for f in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([rows, pa.array([f[1] for f in found], pa.bool_()), pa.array([f[2] for f in found], pa.list_(pa.string()))], names=["row", "whole", "words"])
+
+    return run
 
 
 def own_licences(files: DataFrame) -> DataFrame:
-    """row, whole (boolean), licence, cosine: the best template of each file's lines (whole false) and of its whole text."""
+    """row, whole (boolean), licence, cosine: the best template of each file's windows of lines (whole false) and of its whole text.
+
+    Windows below LINE_COSINE, and whole texts below FILE_COSINE that hold none of ANCHORS, may be missing.
+    """
     spark = files.sparkSession
-    has = lambda c: F.exists(F.array(*[F.lit(a) for a in ANCHORS]), lambda a: F.contains(c, a))
-    named = files.filter(has(F.lower("text")))
-    lines = named.select("row", F.explode(F.filter(F.split("text", "\n"), lambda x: has(F.lower(x)))).alias("unit_text")).select("row", F.lit(False).alias("whole"), "unit_text")
-    wholes = named.select("row", F.lit(True).alias("whole"), F.col("text").alias("unit_text"))
-    # Equal units of a file are one; each unit gets a number from its text.
-    units = lines.unionByName(wholes).withColumn("u", F.xxhash64("unit_text")).dropDuplicates(["row", "whole", "u"])
-    bag = cut(_bag(units.select("row", "whole", "u", "unit_text")))
-    base = _bag(templates(spark))
-    n_units = bag.select("row", "whole", "u").distinct().count() + len(TEMPLATES)
-    counts = bag.select("word").unionByName(base.select("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    idf = counts.select(F.col("word").alias("_w"), (F.log(F.lit(float(1 + n_units)) / (1 + F.col("df"))) + 1).alias("idf"))
+    bags = [Counter(_words(t.lower())) for _, t in TEMPLATES]
+    base = spark.createDataFrame([(k, n, w, c) for k, ((n, _), bag) in enumerate(zip(TEMPLATES, bags, strict=True)) for w, c in bag.items()], "t int, licence string, word string, tf long")
+    lines = files.select("text").mapInArrow(_counted, "word string, df long")
+    counts = cut(lines.unionByName(base.select("word", F.lit(1).cast("long").alias("df"))).groupBy("word").agg(F.sum("df").alias("df")))
+    vocabulary = sorted(set().union(*bags))
+    df = {r["word"]: r["df"] for r in counts.filter(F.col("word").isin(["", *vocabulary])).collect()}
+    n_units = df.get("", 0) + len(TEMPLATES)
+    known = {w: math.log((1 + n_units) / (1 + df[w])) + 1 for w in vocabulary}
+    schema = T.StructType([T.StructField("row", files.schema["row"].dataType), T.StructField("whole", T.BooleanType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    units = files.select("row", "text").mapInArrow(_units(known, (LINE_COSINE, FILE_COSINE)), schema)
+    # Equal units of a file are one; each unit gets a number from its words.
+    units = units.withColumn("u", F.xxhash64("words")).dropDuplicates(["row", "whole", "u"])
+    bag = cut(units.select("row", "whole", "u", F.explode("words").alias("word")).groupBy("row", "whole", "u", "word").agg(F.count(F.lit(1)).alias("tf")))
+    idf = counts.filter("word <> ''").select(F.col("word").alias("_w"), (F.log(F.lit(float(1 + n_units)) / (1 + F.col("df"))) + 1).alias("idf"))
     weigh = lambda x: x.join(idf, F.col("word") == F.col("_w")).drop("_w").withColumn("w", F.col("tf") * F.col("idf"))
     bag, base = weigh(bag), weigh(base)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")))

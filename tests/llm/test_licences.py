@@ -26,3 +26,29 @@ def test_every_template_is_its_own_best(spark):
     found = licences.own_licences(spark.createDataFrame(rows, "row long, path string, text string")).filter("not whole").collect()
     for r in found:
         assert r["licence"] == licences.TEMPLATES[r["row"]][0] and abs(r["cosine"] - 1) < 1e-9
+
+
+def test_wrapped_and_spdx_headers_in_code(spark):
+    code = "\n".join(f"x{i} = call_{i}(y{i}, z{i})  # step {i} of the work" for i in range(200))
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"
+    narrow = "# Permission is hereby granted, free of\n# charge, to any person obtaining a copy\n# of this software and associated\n# documentation files."
+    heads = [
+        (1, mpl, "MPL-2.0"), (2, narrow, "MIT"), (3, "// SPDX-License-Identifier: MIT", "MIT"), (4, "<!-- SPDX-License-Identifier: Apache-2.0 -->", "Apache-2.0"),
+        (5, "# SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), (6, "# SPDX-License-Identifier: Unheard-Of-1.0", None), (7, "", None),
+    ]
+    files = spark.createDataFrame([(k, f"d{k}/x.py", h + "\n" + code) for k, h, _ in heads], "row long, path string, text string")
+    got = {r["row"]: (r["own_licence"], r["how"]) for r in licences.licences(files).collect()}
+    assert got == {k: (want, "own" if want else None) for k, _, want in heads}
+
+
+def test_bound_loses_no_unit(spark, monkeypatch):
+    import itertools
+
+    words = sorted({w for _, t in licences.TEMPLATES for w in t.split()})
+    texts = ["\n".join(" ".join([*words[(7 * i + j) % len(words) :][: 1 + j % 5], f"n{i}"]) for j in range(6)) for i in range(40)]
+    texts += [a + "\n" + b for (_, a), (_, b) in itertools.islice(itertools.combinations(licences.TEMPLATES, 2), 30)]
+    files = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    best = lambda: {(r["row"], r["whole"]): (r["licence"], r["cosine"]) for r in licences.own_licences(files).collect() if r["cosine"] >= (licences.FILE_COSINE if r["whole"] else licences.LINE_COSINE)}
+    got, plain = best(), licences._units
+    monkeypatch.setattr(licences, "_units", lambda idf, limits: plain(idf, (0.0, 0.0)))
+    assert got == best() and len(got) > 30
