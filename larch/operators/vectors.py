@@ -108,11 +108,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def shortlist_rerank(queries: DataFrame, references: DataFrame, bucket: str, short: int = SHORTLIST) -> DataFrame:
+def shortlist_rerank(queries: DataFrame, references: DataFrame, bucket: str, short: int = SHORTLIST, unlike: bool = False) -> DataFrame:
     """Per query the best of its shortlist: pooled cosine first, the masked pair correlation of the best few then.
 
-    queries, references: id, bucket, vec, mask, pool.  An empty bucket gives (null, -1).  Grouped by bucket and
-    salt as in score_cells.
+    queries, references: id, bucket, vec, mask, pool.  An empty bucket gives (null, -1).  unlike: a reference of
+    the query's own id is left out, for searches of a table in itself.  Grouped by bucket and salt as in score_cells.
     """
     n = queries.count()
     salts = max(1, -(-n // GROUP_CELLS))
@@ -128,7 +128,8 @@ def shortlist_rerank(queries: DataFrame, references: DataFrame, bucket: str, sho
             best = (None, -1.0)
             if pool is not None:
                 near = np.round(pool @ np.asarray(x.pool, dtype=float), 9)
-                for i in np.lexsort((b["id"].to_numpy(), -near))[:short]:
+                order = np.lexsort((b["id"].to_numpy(), -near))[: short + 1]
+                for i in order[b["id"].to_numpy()[order] != x.id][:short] if unlike else order[:short]:
                     s = pair_correlation(*(np.asarray(v, dtype=float) for v in (x.vec, x.mask, b["vec"].iloc[i], b["mask"].iloc[i])))
                     if round(s, 9) > round(best[1], 9):
                         best = (b["id"].iloc[i], s)

@@ -335,9 +335,9 @@ def q18_masked_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q19_shortlist_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    emb = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 3).cast("int").alias("bucket"), F.col("embedding").cast("array<double>").alias("vec"))
+    emb = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.size("embedding").alias("bucket"), F.col("embedding").cast("array<double>").alias("vec"))
     rows = emb.withColumn("mask", F.transform("vec", lambda x: F.when(F.abs(x) > 0.01, 1.0).otherwise(0.0))).withColumn("pool", vectors.pooled(F.col("vec"), 4))
-    found = vectors.shortlist_rerank(rows.filter("id % 20 = 0"), rows.filter("id % 20 <> 0"), "bucket")
+    found = vectors.shortlist_rerank(rows.filter("id % 20 = 0"), rows, "bucket", unlike=True)
     return found.select("id", "match_id", F.round("score", 6).alias("score"), identity.association(F.col("score")).alias("kind"))
 
 

@@ -211,6 +211,19 @@ def test_shift_rescue_and_rerank(spark):
     assert got == {100: (7, 1.0), 101: (None, -1.0)}
 
 
+def test_rerank_of_a_table_in_itself(spark, monkeypatch):
+    from larch.plans import catalogue
+
+    rng = np.random.default_rng(3)
+    vec = {i: (rng.random(64) * 9).tolist() for i in range(1, 130)}
+    vec[100] = [x + 0.01 for x in vec[60]]  # the match of a query is a query as well, and not of its residue
+    emb = spark.createDataFrame(list(vec.items()), "vec_id long, embedding array<double>")
+    monkeypatch.setattr(catalogue, "load", lambda *_: emb)
+    got = {r["id"]: (r["match_id"], r["score"]) for r in catalogue.q19_shortlist_rerank(spark, "").collect()}
+    assert set(got) == {20, 40, 60, 80, 100, 120} and got[60][0] == 100 and got[100][0] == 60
+    assert got[60][1] > 0.999 and all(m != i for i, (m, _) in got.items())
+
+
 def test_periods(spark):
     rng = np.random.default_rng(2)
     for pitch in (52.5, 63.0):
