@@ -1,7 +1,8 @@
 """Secret scans with a random forest for false-positive removal.
 
 A candidate is a run of 16 or more token characters with letters and digits mixed, or a digit run of
-16 and more.  Rules then label what they can tell for sure: known key formats and quoted values
+16 and more; and, whatever its characters, the whole quoted or assigned value of SHORTEST or more
+after a secret's name.  Rules then label what they can tell for sure: known key formats and quoted values
 assigned to a secret's name are findings; what stands in an address, a path, or is a date, a plain
 number or a word of the corpus' kind is not.  These labelled findings train a forest of decision trees
 in numpy.  Its features are length, character transitions, the fit of the letters to the corpus'
@@ -39,6 +40,9 @@ NAMES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_k
 #: Key formats that are labelled findings wherever they stand.
 FORMATS = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}$|eyJ[A-Za-z0-9_-]{10,}")
 ASSIGNED = re.compile(r"(?i)(?:" + "|".join(NAMES) + r")[\"']?\s*[:=]\s*[\"']?$")
+SHORTEST = 6
+#: A value after a secret's name: quoted up to its quote, or up to white space or a closing sign.
+VALUE = re.compile(r"(?i)(?:" + "|".join(NAMES) + r")[\"']?\s*[:=]\s*(?:\"([^\"\n]{%d,})\"|'([^'\n]{%d,})'|([^\s\"']{%d,}))" % (SHORTEST, SHORTEST, SHORTEST))
 #: Most labelled candidates of one label that the forest is trained on.
 TRAIN_ROWS = 4_000
 TREES, DEPTH, LEAST = 25, 8, 5
@@ -46,8 +50,8 @@ THRESHOLD = 0.5
 AROUND = 40
 FINDINGS = "doc_id long, start long, length long, digest string, score double, label int"
 BUILT_IN = (
-    [('token = "', f"{(i * 0x9E3779B97F4A7C15F39CC0605CEDC834 + 0x3C6EF372FE94F82BA54FF53A5F1D36F1) % 2**128:032x}{i * 2654435761 % 2**32:08x}", '" and') for i in range(60)],
-    [("call +1 (555) 555-0100 or ", str(10**15 + i * 7919 * 104729), " now") for i in range(30)] + [("the words ", w * 3, " stand") for w in ("therefore", "understand", "Freundlich", "siguientes", "maintenant", "information")] * 5,
+    [(('password = "', "passwd: '", 'secret="', "api_key: '")[i % 4], "".join("abcdefghkmnpqrstuvwxyzABCDEFGHKLMNPQRSTUVWXYZ23456789!&$@.%"[(i * i * 31 + j * j * 17 + i * j * 7 + 5 * j) % 58] for j in range(7 + i % 9)), ("\"", "'")[i % 2]) for i in range(60)] + [('token = "', f"{(i * 0x9E3779B97F4A7C15F39CC0605CEDC834 + 0x3C6EF372FE94F82BA54FF53A5F1D36F1) % 2**128:032x}{i * 2654435761 % 2**32:08x}", '" and') for i in range(60)],
+    [("call +1 (555) 555-0100 or ", str(10**15 + i * 7919 * 104729), " now") for i in range(30)] + [("the words ", w * 3, " stand") for w in ("therefore", "understand", "Freundlich", "siguientes", "maintenant", "information")] * 5 + [("the secret: ", w, " as they say") for w in ("everything", "patience", "nothing", "required", "Freundschaft", "toujours")] * 5,
 )
 
 FEATURES = ("length", "digits", "upper", "transitions", "transition_rate", "entropy", "distinct", "hex", "coverage", "slashes", "words_in_path", "quoted", "assigned", "name_near", "capitals_near", "mail_near")
@@ -59,11 +63,23 @@ def kind(c: str) -> int:
 
 
 def candidates(text: str) -> Iterator[tuple[int, str]]:
-    """(start, value): long runs of token characters that are more than one word or a ruled line."""
+    """(start, value): long runs of token characters that are more than one word or a ruled line, and values of secrets' names; they may overlap."""
+    found = {}
     for m in CANDIDATE.finditer(text):
         value = m.group().strip("=-_/+")
         if len(value) >= 16 and any(c.isalnum() for c in value) and len(set(value)) > 3:
-            yield m.start() + m.group().index(value), value
+            found[m.start() + m.group().index(value), value] = None
+    for m in VALUE.finditer(text):
+        value = m.group(m.lastindex)
+        if m.lastindex == 3:
+            value = value.rstrip(".,;:)]}>")
+        if len(value) >= SHORTEST and len(set(value)) > 3:
+            found[m.start(m.lastindex), value] = None
+    yield from sorted(found)
+
+
+def _quoted(before: str, after: str) -> bool:
+    return before[-1:] in ("'", '"') and before[-1:] == after[:1]
 
 
 def label(before: str, value: str, after: str) -> int:
@@ -73,6 +89,8 @@ def label(before: str, value: str, after: str) -> int:
         return 1
     if digits >= 4 and digits < len(value) and ASSIGNED.search(before) and len(set(value)) >= 8:
         return 1
+    if ASSIGNED.search(before) and _quoted(before, after):
+        return 1 if 0 < digits < len(value) and len(set(value)) >= 5 else -1
     if digits == 0 and (value.islower() or value[1:].islower()):
         return 0
     if digits == len(value) or after.startswith(("@", ".com", ".org", ".net")) or before.endswith("@") or "://" in before.split(" ")[-1]:
@@ -215,6 +233,17 @@ def scan(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FINDINGS)
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with overlapping ones joined."""
+    out: list[tuple[int, int]] = []
+    for start, end in spans:
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def redact(docs: DataFrame, forest: Forest | None = None, mask: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
     """docs with every reported secret in `text` replaced by `mask`, and n_chars (if there) counted anew; other rows as they are."""
     forest = forest or train(docs)
@@ -227,9 +256,8 @@ def redact(docs: DataFrame, forest: Forest | None = None, mask: str = "[SECRET]"
                 texts = piece.column(at).to_pylist()
                 out, sizes = list(texts), piece.column(batch.schema.get_field_index("n_chars")).to_pylist() if counted else []
                 for i, found in enumerate(judged([x or "" for x in texts], forest)):
-                    for start, value, score, _ in reversed(found):
-                        if score >= threshold:
-                            out[i] = out[i][:start] + mask + out[i][start + len(value) :]
+                    for start, end in reversed(_merged([(f[0], f[0] + len(f[1])) for f in found if f[2] >= threshold])):
+                        out[i] = out[i][:start] + mask + out[i][end:]
                     if counted and out[i] != texts[i]:
                         sizes[i] = len(out[i])
                 piece = piece.set_column(at, piece.schema.field(at), pa.array(out, piece.schema.field(at).type))

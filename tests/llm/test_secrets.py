@@ -48,3 +48,14 @@ def test_forest_learns():
     y = ((x[:, 1] > 0) ^ (x[:, 3] > 0.5)).astype(float)
     forest = secrets.Forest(trees=30).fit(x[:400], y[:400])
     assert ((forest.vote(x[400:]) > 0.5) == y[400:]).mean() > 0.85
+
+
+def test_assigned_values_of_any_length_and_characters(spark):
+    forest = secrets.train(spark.createDataFrame([r[:2] for r in sample(random.Random(2), 150)], "doc_id long, text string"))
+    rows = [
+        (1, 'x password = "hunter2xyz9" y', 'x password = "[SECRET]" y'), (2, "passwd: 'Tr0ub4dor&3'", "passwd: '[SECRET]'"),
+        (3, "api_key = 'a1.b2!c3@d4%e5:f6'", "api_key = '[SECRET]'"), (4, "the secret: everything is fine", "the secret: everything is fine"),
+        (5, 'secret = "ab 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b cd"', 'secret = "[SECRET]"'),
+    ]
+    out = secrets.redact(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), forest)
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: want for i, _, want in rows}
