@@ -5,8 +5,9 @@ A candidate is a run of 16 or more token characters with letters and digits mixe
 after a secret's name.  Rules then label what they can tell for sure: known key formats and quoted values
 assigned to a secret's name are findings; what stands in an address, a path, or is a date, a plain
 number or a word of the corpus' kind is not.  These labelled findings train a forest of decision trees
-in numpy.  Its features are length, character transitions, the fit of the letters to the corpus'
-own words (dictionary coverage), the path-like parts, and the neighbouring words; the rules' own
+in numpy.  Its features are length, character transitions, the share of ASCII letter
+runs with a word's vowels (it stands in for dictionary coverage; no dictionary is counted), the path-like
+parts of the candidate itself, and the neighbouring words; the rules' own
 verdict is not a feature, so the forest generalises to candidates that no rule labels.  A candidate
 is reported if the forest's mean vote reaches THRESHOLD.
 
