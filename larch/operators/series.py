@@ -140,11 +140,14 @@ def spans_of(values: np.ndarray, pitch: float) -> list[tuple[int, int]]:
 
 
 def phase_spans(series: DataFrame, key: str, pitch: int) -> DataFrame:
-    """key, start, end of the stable spans of each series."""
+    """key, start, end of the stable spans of each series; a series without any gives no rows."""
     kind = series.schema[key].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = spans_of(group.sort_values("pos")["value"].to_numpy(), pitch)
-        return pd.DataFrame({key: [group[key].iloc[0]] * len(found), "start": [a for a, _ in found], "end": [b for _, b in found]})
+        group = group.sort_values("pos")
+        found = np.array(spans_of(group["value"].to_numpy(), pitch), dtype=np.int64).reshape(-1, 2)
+        # The key's own column, cut or repeated, keeps its type when there are no spans.
+        keys = group[key].iloc[np.zeros(len(found), dtype=np.int64)].reset_index(drop=True)
+        return pd.DataFrame({key: keys, "start": found[:, 0], "end": found[:, 1]})
 
     return series.groupBy(key).applyInPandas(run, f"{key} {kind}, start long, end long")

@@ -412,7 +412,16 @@ def q26_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.refine(hourly, "event_type", coarse)
 
 
-@query()
+@query(f"""with recursive {_HOURLY_SQL}, n as (select event_type, max(pos) + 1 as n from hourly group by 1),
+hops as (select event_type, unnest(range(0, (n - 72) // 24 + 1)) as w from n where n >= 72),
+v as (select event_type, w, pos % 24 as ph, sum(value) as v from hops join hourly using (event_type) where pos >= 24 * w and pos < 24 * w + 72 group by 1, 2, 3),
+win as (select event_type, w, list(v order by ph) as f, arg_max(ph, (v, -ph)) as peak, max(v) as top, case when median(v) > 0 then median(v) else 1 end as level from v group by 1, 2),
+run(event_type, w, phase, began) as (select event_type, w, case when top / level >= 1.6 then peak end, case when top / level >= 1.6 then 0::bigint end from win where w = 0
+ union all select event_type, w, case when stays then phase when starts then peak end, case when stays then began when starts then 24 * w end from (
+  select win.*, r.phase, r.began, top / level >= 1.6 as starts, r.phase is not null and list_max(list_transform(range(-2, 3), lambda d: f[(r.phase + d + 24) % 24 + 1])) / level >= 1.5 as stays
+  from run r join win on win.event_type = r.event_type and win.w = r.w + 1))
+select event_type, began as "start", least(max(24 * w + 72), any_value(n)) as "end" from run join n using (event_type) where began is not null group by 1, 2
+union all select event_type, 0::bigint, n from n where n >= 48 and n < 72""")
 def q27_phase_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.phase_spans(_hourly(spark, sf_dir), "event_type", 24)
 

@@ -293,3 +293,10 @@ def test_labels_in_claims():
     scores["exact"] = True
     scores["score"] = 0.8
     assert run(None) == [(2, "ncc", "exact")] and run(label(2, "other", 90)) == [(2, "ncc", "exact")]
+
+
+def test_spans_of_flat_series(spark):
+    """Series without any span, of whatever key type, give no rows and no error."""
+    flat = [(k, i, 1.0) for k in ("a", "b") for i in range(200)]
+    assert series.phase_spans(spark.createDataFrame(flat, "k string, pos long, value double"), "k", 24).collect() == []
+    assert series.phase_spans(spark.createDataFrame([(1, 0, 1.0)], "k long, pos long, value double"), "k", 24).collect() == []
