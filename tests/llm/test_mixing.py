@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from larch.llm import mixing
 from tests.llm.conftest import words
@@ -57,8 +57,63 @@ def test_meeting_keeps_words_and_expectation():
     assert all(abs(a / 4000 - b) < 0.04 for a, b in zip(sums, p, strict=True))
 
 
-def test_repeat_and_empty(documents, nothing):
+def test_takes_against_brute_force(spark, documents):
+    """Copies are the ratio rounded down or up, and a source's words come as near to its target as its last documents allow."""
+    rows = [(i, "w " * n, s) for i, (n, s) in enumerate([(3, "a"), (50, "a"), (700, "a"), (9, "b"), (2000, "b"), (31, "b"), (120, "b"), (64, "c"), (400, "c"), (0, "c"), (5, None)])]
+    for table in (spark.createDataFrame(rows, "doc_id long, text string, source string"), documents):
+        by = defaultdict(list)
+        for r in mixing.mix_sources(table).collect():
+            by[r["source"]].append(r)
+        for got in by.values():
+            target, total = got[0]["target"], got[0]["source_size"]
+            ratio = min(3.0, target / total) if total else 0.0
+            assert all(r["copies"] in (int(ratio + 1e-9), -int(-(ratio - 1e-9) // 1)) if r["size"] else r["copies"] == 0 for r in got)
+            if len(got) <= mixing.OPEN and 0 < ratio < 3:
+                sizes = [r["size"] for r in got]
+                best = min(abs(sum(n * (int(ratio) + (k >> i & 1)) for i, n in enumerate(sizes)) - target) for k in range(1 << len(sizes)))
+                classes = [n.bit_length() for n in sizes if n]
+                if len(set(classes)) == len(classes):  # no two of them met
+                    assert abs(sum(r["taken"] for r in got) - target) <= max(best, mixing.NEAR * target) + 1e-6
+
+
+def test_root_keeps_chances_where_it_can():
+    """With many subsets near the target, documents are drawn about as often as their fractions say."""
+    size, p = [512 + 32 * i for i in range(10)], [0.1, 0.9, 0.3, 0.7, 0.5, 0.5, 0.2, 0.8, 0.4, 0.6]
+    sums = [0.0] * 10
+    for seed in range(600):
+        out = mixing.settle(size, p, [random.Random(seed * 10 + i).getrandbits(63) for i in range(10)], 1e6)
+        assert set(out) <= {0.0, 1.0}
+        sums = [a + b for a, b in zip(sums, out, strict=True)]
+    assert all(abs(a / 600 - b) < 0.12 for a, b in zip(sums, p, strict=True))
+
+
+def test_large_ids_beside_nulls(spark):
+    big = 2**53
+    rows = [(big + 1, "a b c", "s"), (None, "d e", "s"), (big + 3, "f g h i", "s"), (big + 5, "j", "t")]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), leaf_rows=1)
+    assert sorted((r["doc_id"] or 0, r["size"]) for r in got.collect()) == [(0, 2), (big + 1, 3), (big + 3, 4), (big + 5, 1)]
+
+
+def test_repeat(spark, documents, nothing):
     out = mixing.repeat(documents)
     assert out.schema == documents.schema
     assert mixing.mix_sources(nothing).count() == 0 and mixing.repeat(nothing).count() == 0
-    assert {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in documents.collect()}
+    # The rows that come out are those that went in, in all columns, as often as the mix says for their source.
+    have, got = Counter(tuple(r) for r in documents.collect()), Counter(tuple(r) for r in out.collect())
+    assert set(got) <= set(have)
+    taken, size = defaultdict(int), defaultdict(int)
+    for r in mixing.mix_sources(documents).collect():
+        taken[r["source"]] += r["taken"]
+    for r, n in got.items():
+        size[r[2]] += n * len(words(r[1]))
+    assert {s: n for s, n in size.items() if n} == {s: n for s, n in taken.items() if n}
+    # One id and text in two sources: each comes out with its own source.
+    text = "x " * 100
+    rows = [(1, text, "a", {"k": 1}), (1, text, "b", {"k": 2})] + [(i, "y " * 100, s, None) for i in range(2, 40) for s in ("a", "b")]
+    twice = spark.createDataFrame(rows, "doc_id long, text string, source string, more map<string,int>")
+    got = Counter((r["doc_id"], r["source"]) for r in mixing.repeat(twice).collect())
+    want = defaultdict(int)
+    for r in mixing.mix_sources(twice).collect():
+        want[r["source"]] += r["copies"]
+    assert {s: sum(n for (_, x), n in got.items() if x == s) for s in "ab"} == want
+    assert got[(1, "a")] in (1, 2) and got[(1, "b")] in (0, 1)
