@@ -16,6 +16,9 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: All bytes but those of letters (ASCII letters, and any character beyond ASCII).
+NOT_LETTERS = np.ones(256, dtype=bool)
+NOT_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -56,10 +59,10 @@ def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a run of texts: `start`, `end` (byte offsets) and `first` (first word of each text, then the total)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = _SPACE):
         self.data = data = _LOWER[data] if lower else data
         self.offsets = offsets
-        solid = ~_SPACE[data]
+        solid = ~between[data]
         n = len(data)
         before = np.empty(n, dtype=bool)
         if n:
