@@ -81,6 +81,10 @@ link as (select a, b from pairs join n p on a = p.doc_id join n q on b = q.doc_i
 reach(a, b) as (select doc_id, doc_id from t union select reach.a, link.b from reach join link on reach.b = link.a),
 low as (select a as doc_id, min(b) as component_id from reach group by a)
 select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from low left join n using (doc_id)""",
+    "op6_nearest_neighbours": """with v as (select vec_id, embedding::double[] as e from embeddings where vec_id is not null and embedding is not null),
+u as (select * from v where len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(c.e, c.e)) as score from u q join u c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0)
+select query_id, cast(n as int) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s) where n <= 5""",
     "op9_substring_dedup": f"""with t as (select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents),
 win as (select doc_id, s, array_to_string(w[s + 1 : s + 20], ' ') as x from (select doc_id, w, unnest(range(0, len(w) - 19)) as s from t)),
 later as (select doc_id, s from (select *, row_number() over (partition by x order by doc_id, s) as n from win) where n > 1),

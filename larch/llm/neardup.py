@@ -8,10 +8,11 @@ the full sets.  Connected components of the verified links give the classes.
 
 Pairs are never written out.  First every node of a bucket meets the bucket's smallest node only,
 which links most copies.  Components follow.  Then, in the buckets that still hold several components,
-nodes of different components meet: a bucket's nodes travel with their texts to one task (a large
-bucket's to a grid of block pairs of bounded size), which compares them there, each pair in the first
-band it shares only, and gives out the links that join components.  So no link between different texts
-is lost to a cap, and what travels is nodes, not pairs.
+the strays (all nodes but those of the bucket's largest component) meet all nodes of other components:
+strays and nodes travel with their texts to a grid of blocks bounded in nodes and in shingles, where they
+are compared, each pair in the first band it shares only, and the links that join components come out.
+A node travels once per block of strays, so one stray among a million copies costs one more trip of each.
+So no link between different texts is lost to a cap, and what travels is nodes, not pairs.
 
 Chance: with b = 50 bands of r = 5 rows a pair at exactly 0.75 shares no bucket with probability
 (1 - 0.75^5)^50 = 1.3e-6, and less when more similar; MISS is spent on top, once a batch.
@@ -43,8 +44,8 @@ HASHES = BANDS * ROWS
 #: Hashes compared at once, and the chance of dropping a true pair at one comparison.
 BATCH, MISS = 25, 1e-9
 
-#: Nodes of a block, and rows of ids that may be broadcast (16 bytes each).
-BLOCK = 1_024
+#: Nodes and shingles of a block, and rows of ids that may be broadcast (16 bytes each).
+BLOCK, BLOCK_SHINGLES = 1_024, 4 << 20
 BROADCAST_IDS = 1_000_000
 
 _SETS = "doc_id long, f long, n_shingles long, fa long, fb long, bands binary"
@@ -109,22 +110,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band hash, its number, node) for each band of each node."""
+    """(band hash, its number, node, size of its set) for each band of each node."""
     for batch in batches:
         n = batch.num_rows
         if n:
             h = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8")
             at = pa.array(np.repeat(np.arange(n), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(h)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), batch.column(0).take(at), batch.column(1).take(at)], names=["band", "b", "d", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(h)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), *(batch.column(i).take(at) for i in (0, 1, 3))], names=["band", "b", "d", "k", "n"])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) with the signature, 16 bits a hash."""
+    """(node, text) with the signature, 16 bits a hash, and as many bits of each band's hash behind it."""
     multipliers = _multipliers()
     for batch in batches:
         for piece in pieces(batch):
             sets = shingle_sets(Words(*buffers(piece.column(2)), lower=True))
-            sig = [signature(x, multipliers).astype("<u2").tobytes() for x in sets]
+            sig = [signature(x, multipliers) for x in sets]
+            bands = band_hashes(np.stack(sig)).astype("<u2") if sets else []
+            sig = [x.astype("<u2").tobytes() + b.tobytes() for x, b in zip(sig, bands, strict=True)]
             yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(3)), pa.array(sig, pa.binary()), pa.array([len(x) for x in sets], pa.int64())], names=["d", "k", "text", "sig", "n"])
 
 
@@ -143,14 +146,16 @@ def least_matches(batch: int = BATCH, hashes: int = HASHES, miss: float = MISS,
     return out
 
 
-def links_of(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, band: int, sets) -> list[tuple[int, int]]:
-    """Links between components of one group: pairs of a left (side 0, 2) and a right (side 1, 2) node.
+def links_of(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, name: np.ndarray, band: int, sets) -> list[tuple[int, int]]:
+    """Links between components of one group: pairs of a left (side 0) and a right (1; 3 if it is a stray too) node.
 
-    sig: uint16 signatures; n: set sizes; band: the group's band, -1 for none; sets(i): the set of node i.
-    A pair that shares an earlier band is left to that one.  Links that join no more are not looked for.
+    sig: uint16 signatures and band hashes; n: set sizes; name: numbers in the order of the nodes; band: the
+    group's band, -1 for none; sets(i): the set of node i.  Two strays meet twice in a grid, and count once.  A pair
+    that shares an earlier band (its rows and its hash) is left to that one.  Links that join no more are not looked for.
     """
     bounds = least_matches()
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    sig, hashed = sig[:, :HASHES], sig[:, HASHES:]
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side != 0)
     root = {int(c): int(c) for c in np.unique(comp)}
 
     def find(c: int) -> int:
@@ -162,7 +167,7 @@ def links_of(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray,
     step = max(1, 65_536 // max(1, len(right)))
     for lo in range(0, len(left), step):
         i, j = (x.reshape(-1) for x in np.meshgrid(left[lo : lo + step], right, indexing="ij"))
-        both = (side[i] == 2) & (side[j] == 2) & (i >= j)
+        both = (side[j] == 3) & (name[i] >= name[j])
         ok = (comp[i] != comp[j]) & ~both & (100 * np.minimum(n[i], n[j]) >= NUMERATOR * np.maximum(n[i], n[j]))
         i, j = i[ok], j[ok]
         hits, done = np.zeros(len(i), dtype=np.int64), 0
@@ -172,7 +177,7 @@ def links_of(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray,
             i, j, hits, done = i[ok], j[ok], hits[ok], upto
         if band > 0 and len(i):
             same = (sig[i, : band * ROWS] == sig[j, : band * ROWS]).reshape(len(i), band, ROWS)
-            ok = ~same.all(axis=2).any(axis=1)
+            ok = ~(same.all(axis=2) & (hashed[i, :band] == hashed[j, :band])).any(axis=1)
             i, j, hits = i[ok], j[ok], hits[ok]
         open_.append((i, j, hits))
     i, j, hits = (np.concatenate([x[k] for x in open_]) if open_ else np.zeros(0, np.int64) for k in range(3))
@@ -201,7 +206,11 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         n, comp, side = (t[c].to_numpy() for c in ("n", "c", "side"))
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(len(n), HASHES)
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u2").reshape(len(n), HASHES + BANDS)
+        order = np.lexsort((t["k"].to_numpy(), t["d"].to_numpy()))
+        node = np.stack((t["d"].to_numpy(), t["k"].to_numpy()))[:, order]
+        name = np.empty(len(n), dtype=np.int64)
+        name[order] = np.cumsum(np.append(True, (node[:, 1:] != node[:, :-1]).any(axis=0)))
         texts, made = t["text"], {}
 
         def sets(i: int) -> np.ndarray:
@@ -209,7 +218,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 made[i] = shingle_sets(Words(*buffers(pa.array([texts[i].as_py()])), lower=True))[0]
             return made[i]
 
-        got = links_of(sig, n, comp, side, int(t["b"][0].as_py()), sets)
+        got = links_of(sig, n, comp, side, name, int(t["b"][0].as_py()), sets)
         d, k = t["d"].combine_chunks(), t["k"].combine_chunks()
         a, b = (pa.array([g[x] for g in got], pa.int64()) for x in (0, 1))
         yield pa.RecordBatch.from_arrays([d.take(a), k.take(a), d.take(b), k.take(b)], names=["ad", "ak", "bd", "bk"])
@@ -262,6 +271,11 @@ def _meet(groups: DataFrame, held: DataFrame) -> DataFrame:
     return cut(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_links, _LINKS))
 
 
+def _blocks(nodes: Column, shingles: Column) -> Column:
+    """Number of blocks that so many nodes with so many shingles are dealt to."""
+    return F.ceil(F.greatest(nodes / BLOCK, shingles / BLOCK_SHINGLES, F.lit(1))).cast("int")
+
+
 def _name(d: str, k: str) -> Column:
     return F.xxhash64(d, k)
 
@@ -278,13 +292,13 @@ def classes(docs: DataFrame) -> DataFrame:
     owners = sets.filter("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min(F.struct("doc_id", "f")).alias("o"))
     owners = owners.select(*keys, F.col("o.doc_id").alias("d"), F.col("o.f").alias("f"))
     owners = cut(owners.withColumn("k", (F.row_number().over(Window.partitionBy("d").orderBy("f", *keys)) - 1).cast("int")))
-    own = sets.select(F.col("doc_id").alias("d"), "f", "bands").join(owners.select("d", "f", "k"), ["d", "f"])
-    nodes = own.groupBy("d", "k").agg(F.first("bands").alias("bands"))
-    bands = nodes.mapInArrow(_bands, "band long, b int, d long, k int")
+    own = sets.select(F.col("doc_id").alias("d"), "f", "n_shingles", "bands").join(owners.select("d", "f", "k"), ["d", "f"])
+    nodes = own.groupBy("d", "k").agg(F.first("bands").alias("bands"), F.max("n_shingles").alias("n"))
+    bands = nodes.mapInArrow(_bands, "band long, b int, d long, k int, n long")
     size = F.count(F.lit(1)).alias("m")
     bands = cut(bands)
     buckets = cut(bands.groupBy("band").agg(size, F.min(F.struct("d", "k")).alias("hub")).filter("m > 1"))
-    members = cut(bands.join(buckets, "band").select("band", "b", "d", "k", "m", F.col("hub.d").alias("hd"), F.col("hub.k").alias("hk")))
+    members = cut(bands.join(buckets, "band").select("band", "b", "d", "k", "n", F.col("hub.d").alias("hd"), F.col("hub.k").alias("hk")))
     drop(bands)
     drop(buckets)
     # Texts and signatures of nodes that share a bucket with another.
@@ -294,22 +308,25 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = rows.withColumnRenamed("doc_id", "d").join(F.broadcast(needed) if few else needed, ["d", "f"]).select("d", "k", "text")
     held = cut(texts.mapInArrow(_signatures, "d long, k int, text string, sig binary, n long").dropDuplicates(["d", "k"]))
     # First meeting: each node with the smallest of its buckets, the hub, which is copied to each block.
-    star = members.filter("not (d = hd and k = hk)").select("hd", "hk", "d", "k").distinct()
-    blocks = star.groupBy("hd", "hk").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    star = members.filter("not (d = hd and k = hk)").select("hd", "hk", "d", "k", "n").distinct()
+    blocks = star.groupBy("hd", "hk").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("nb"))
     star = star.join(blocks, ["hd", "hk"]).withColumn("at", F.pmod(_name("d", "k"), F.col("nb")).cast("int"))
     hubs = blocks.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("hd", "hk", "at", F.lit(0).alias("side"), F.col("hd").alias("d"), F.col("hk").alias("k"))
     groups = star.select("hd", "hk", "at", F.lit(1).alias("side"), "d", "k").unionByName(hubs)
     links = _meet(groups.select(F.xxhash64("hd", "hk", "at").alias("key"), F.lit(-1).alias("b"), "side", "d", "k", _name("d", "k").alias("c")), held)
     labels = cut(components(links))
-    # Second meeting: in buckets of several components, all but the largest component's nodes with all of other components.
+    # Second meeting: in buckets of several components, the strays with all nodes of other components.
     own = labels.select(F.col("d").alias("xd"), F.col("k").alias("xk"), _name("cd", "ck").alias("xc"))
-    labelled = members.join(own, (F.col("d") == F.col("xd")) & (F.col("k") == F.col("xk")), "left").select("band", "b", "d", "k", "m", F.coalesce("xc", _name("d", "k")).alias("c"))
-    kinds = labelled.groupBy("band", "c").agg(F.count(F.lit(1)).alias("mc")).groupBy("band").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    mixed = labelled.join(kinds.select("band"), "band", "left_semi")
-    nb = F.ceil(F.col("m") / BLOCK).cast("int")
-    mixed = mixed.withColumn("nb", nb).withColumn("at", F.pmod(_name("d", "k"), F.col("nb")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    side = F.when(F.col("at") == F.col("to"), 2).when(F.col("at") < F.col("to"), 0).otherwise(1)
-    groups = mixed.select(F.xxhash64("band", F.least("at", "to"), F.greatest("at", "to")).alias("key"), "b", side.alias("side"), "d", "k", "c")
+    labelled = members.join(own, (F.col("d") == F.col("xd")) & (F.col("k") == F.col("xk")), "left").select("band", "b", "d", "k", "n", F.coalesce("xc", _name("d", "k")).alias("c"))
+    kinds = labelled.groupBy("band", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).groupBy("band").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("m", "c", "s")).alias("main"), F.sum("m").alias("m"), F.sum("s").alias("s")).filter("kinds > 1")
+    kinds = kinds.select("band", F.col("main.c").alias("mc"), _blocks(F.col("m") - F.col("main.m"), F.col("s") - F.col("main.s")).alias("nl"), _blocks(F.col("m"), F.col("s")).alias("nr"))
+    mixed = labelled.join(kinds, "band").withColumn("stray", F.col("c") != F.col("mc"))
+    deal = lambda n, salt: F.pmod(F.xxhash64("d", "k", F.lit(salt)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = mixed.filter("stray").withColumn("i", deal("nl", 1)).withColumn("j", each("nr")).withColumn("side", F.lit(0))
+    right = mixed.withColumn("j", deal("nr", 2)).withColumn("i", each("nl")).withColumn("side", F.when(F.col("stray"), 3).otherwise(1))
+    groups = left.select("band", "i", "j", "b", "side", "d", "k", "c").unionByName(right.select("band", "i", "j", "b", "side", "d", "k", "c"))
+    groups = groups.select(F.xxhash64("band", "i", "j").alias("key"), "b", "side", "d", "k", "c")
     more = _meet(groups, held)
     if not more.isEmpty():
         labels = cut(components(links.unionByName(more)))

@@ -9,10 +9,14 @@ merged by heaps again.  Nothing is approximate in the result: recall is 1.
 The error bound: with v = s q + e, |e_i| <= s / 2, the exact product differs from the quantised one
 by at most |e_a|.|b| + |a^|.|e_b|, and these norms are computed from the actual errors.
 
-Defined cases: vectors that are null, empty, zero, of another length than the most usual one, or
-with null or non-finite components take no part; a null id takes no part; ties go to the smaller id;
-repeated ids are candidates each, but never of a query of their own id; fewer candidates than k give
-fewer rows; other columns are not read.
+The measure: dot(a, b) / sqrt(dot(a, a) dot(b, b)) in double precision, sums taken from the first component
+on, so that any plain loop gives the same bits.  Rows are scaled by powers of two first, which changes no
+bit and keeps large and small components from overflowing.
+
+Defined cases: vectors that are null, empty, zero, or with null or non-finite components take no part;
+vectors of different lengths are no candidates of each other (each length has its own grid); a null id
+takes no part; ties go to the smaller id; repeated ids are candidates each, but never of a query of their
+own id; fewer candidates than k give fewer rows; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larch.llm.common import cut
-
 K = 5
 #: Rows of a cell's two sides, and of a product tile's.
 QUERY_BLOCK, CANDIDATE_BLOCK, TILE = 8_192, 8_192, 2_048
+#: Most tasks of the grid; beyond it a task has several cells, one after another.
+MOST_TASKS = 20_000
 OUT = "query_id long, vec_id long, score double"
 
 
@@ -40,16 +44,25 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.filter(~F.coalesce(bad, F.lit(True)) & F.exists("vec", lambda x: x != 0))
 
 
-def _matrix(rows: list[np.ndarray]) -> np.ndarray:
-    return np.stack(rows) if rows else np.zeros((0, 0))
+def _scaled(m: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component between 1/2 and 1; exact."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1))[1][:, None]) if len(m) else m
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
-    """Rows of length 1; scaled by the largest component first, against overflow and underflow."""
-    m = m / np.abs(m).max(axis=1, keepdims=True)
+    """Rows of length 1."""
+    m = _scaled(m)
     return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, summed from the first component on."""
+    out = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        out += a[:, d] * b[:, d]
+    return out
+
+
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(int8 codes, scale, norm of the rounded vector, norm of the error) of unit rows."""
     scale = np.abs(unit).max(axis=1) / 127
@@ -74,7 +87,9 @@ def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: in
         if len(np.unique(cid)) == len(cid):
             keep = nth <= k
         c, cid = c[np.sort(by[keep])], cid[np.sort(by[keep])]
+    q, c = _scaled(q), _scaled(c)
     qu, cu = _unit(q), _unit(c)
+    qq, own = products(q, q), products(c, c)
     qc, qs, qn, qe = quantise(qu)
     dim = q.shape[1]
     step = max(1, (2**24 - 1) // 127**2)  # so many int8 products sum up exactly in float32
@@ -95,7 +110,7 @@ def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: in
         i, j = np.nonzero((near + slack >= bar[:, None]) & (qid[:, None] != ids[None, :]))
         for lo in range(0, len(i), 65_536):
             a, b = i[lo : lo + 65_536], j[lo : lo + 65_536]
-            exact = (qu[a] * tile[b]).sum(axis=1)
+            exact = products(q[a], c[at + b]) / np.sqrt(qq[a] * own[at + b])
             for x, y, score in zip(a.tolist(), ids[b].tolist(), exact.tolist(), strict=True):
                 h = heaps[x]
                 if len(h) < k:
@@ -122,15 +137,15 @@ def _cells(k: int):
                 yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.float64())], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
-            cells = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
+            cells, dims = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((cells[1:] != cells[:-1]) | (dims[1:] != dims[:-1])) + 1).tolist(), len(cells)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi == lo:
                     continue
-                if cells[lo] != cell:
+                if (cells[lo], dims[lo]) != cell:
                     if held:
                         yield from close()
-                    cell, held = cells[lo], []
+                    cell, held = (cells[lo], dims[lo]), []
                 held.append(batch.slice(lo, hi - lo))
         if held:
             yield from close()
@@ -173,17 +188,16 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = K, query_block:
     Every query meets every candidate once, in the cell of their two blocks: queries travel once per
     candidate block and candidates once per query block, and a cell holds a bounded number of rows.
     """
-    q, c = usable(queries), usable(candidates)
-    dims = c.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    n_q, n_c = q.count(), sum(r["count"] for r in dims)
-    if not dims:
-        q = q.limit(0)
-    else:
-        q, c = q.filter(F.size("vec") == dims[0]["d"]), c.filter(F.size("vec") == dims[0]["d"])
-    rows, cols = max(1, -(-n_q // query_block)), max(1, -(-n_c // candidate_block))
-    deal = lambda n: F.pmod(F.xxhash64("id", F.lit(17)), F.lit(n))
-    q = q.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cols - 1)))).withColumn("cell", F.col("cell") + deal(rows) * cols).withColumn("side", F.lit(0))
-    c = c.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("cell", deal(cols) + F.col("cell") * cols).withColumn("side", F.lit(1))
-    both = q.unionByName(c).select(F.col("cell").cast("long").alias("cell"), "side", "id", "vec")
-    found = both.repartition(rows * cols, "cell").sortWithinPartitions("cell").mapInArrow(_cells(k), OUT)
+    q, c = (usable(x).withColumn("dim", F.size("vec")) for x in (queries, candidates))
+    # The grid of each length: one row a length that both sides have.
+    grid = q.select("dim", F.lit(1).alias("n_q")).unionByName(c.select("dim", F.lit(0).alias("n_q"))).groupBy(F.col("dim").alias("_dim")).agg(F.sum("n_q").alias("n_q"), F.sum(1 - F.col("n_q")).alias("n_c"))
+    grid = [(r["_dim"], -(-r["n_q"] // query_block), -(-r["n_c"] // candidate_block)) for r in grid.filter("n_q > 0 and n_c > 0").collect()]
+    tasks = max(1, min(MOST_TASKS, sum(rows * cols for _, rows, cols in grid)))
+    grid = q.sparkSession.createDataFrame(grid, "_dim int, _rows long, _cols long")
+    q, c = (x.join(grid, F.col("dim") == F.col("_dim")) for x in (q, c))
+    deal = lambda n: F.pmod(F.xxhash64("id", F.lit(17)), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    q = q.withColumn("_at", each("_cols")).select((F.col("_at") + deal("_rows") * F.col("_cols")).alias("cell"), "dim", F.lit(0).alias("side"), "id", "vec")
+    c = c.withColumn("_at", each("_rows")).select((deal("_cols") + F.col("_at") * F.col("_cols")).alias("cell"), "dim", F.lit(1).alias("side"), "id", "vec")
+    found = q.unionByName(c).repartition(tasks, "dim", "cell").sortWithinPartitions("dim", "cell").mapInArrow(_cells(k), OUT)
     return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")

@@ -6,8 +6,9 @@ string of words to the bucket of the minimiser.  So all windows with the same wo
 bucket, while words are sent about 3 times and not 20.  In a bucket windows are sorted by hash;
 equal hashes are confirmed byte by byte, and all but the earliest (doc_id, then start) are repeats.
 
-Skew: within a task, equal super-k-mers travel once - a later one repeats an earlier one, whatever
-the bucket says.  Minimisers that are frequent all the same (counted in a first pass over all
+Skew: within a step of PIECE bytes, equal super-k-mers travel once - a later one repeats an earlier one,
+whatever the bucket says - and a bucket that passes HOLD bytes is reduced in the same way as it is read, so a
+passage of all documents is held once.  Minimisers that are frequent all the same (counted in a first pass over all
 documents) don't share a bucket: their windows travel one by one, each to the bucket of its whole
 hash.  The list of those is bounded (HOT_MOST entries), as each holds a share of all super-k-mers.
 
@@ -34,9 +35,10 @@ from larch.llm.words import Words, buffers, mix, pieces, sliding_min, windows
 
 WINDOW = 20
 MINIMISER = 3
-#: Text that one step holds; level of compression; super-k-mers that one bucket is to hold; a minimiser with more than
+#: Text that one step holds, and a bucket before equal strings are reduced; level of compression; super-k-mers that one bucket is to hold; a minimiser with more than
 #: HOT_LEAST and a share of 1 / HOT_MOST of them is split up.
 PIECE = 4 << 20
+HOLD = 32 << 20
 LEVEL = 6
 BUCKET = 60_000
 HOT_LEAST, HOT_MOST = 4_096, 1 << 20
@@ -223,25 +225,62 @@ def repeats(text: bytes, docs: np.ndarray, keys: np.ndarray, starts: np.ndarray)
     return out
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bucket, held = None, []
+class _Bucket:
+    """Super-k-mers of one bucket; equal strings are reduced to the earliest whenever HOLD more bytes have come."""
+
+    def __init__(self) -> None:
+        self.texts: list[bytes] = []
+        self.places: list[np.ndarray] = []
+        self.spans: list[np.ndarray] = []
+        self.size = self.floor = 0
+
+    def add(self, text: bytes, docs: bytes, keys: bytes, starts: bytes, known: bytes) -> None:
+        text = _unzip(text)
+        place = np.zeros(text.count(b"\n") + 1, dtype=_SPAN)
+        place["doc"], place["key"], place["start"] = (np.frombuffer(_unzip(x), t) for x, t in ((docs, "<i8"), (keys, "<i4"), (starts, "<i4")))
+        self.texts.append(text)
+        self.places.append(place)
+        if known:
+            self.spans.append(np.frombuffer(known, _SPAN))
+        self.size += len(text)
+        if self.size > self.floor + HOLD:
+            self.reduce()
+
+    def reduce(self) -> None:
+        """Of equal strings the earliest stays, with any at its very place; the others are repeats from end to end."""
+        strings = b"\n".join(self.texts).split(b"\n")
+        places = np.concatenate(self.places)
+        order = np.lexsort((places["start"], places["doc"])).tolist()
+        first: dict[bytes, int] = {}
+        stays, goes = [], []
+        for i in order:
+            j = first.setdefault(strings[i], i)
+            at, own = places[j], places[i]
+            (stays if at["doc"] == own["doc"] and at["start"] == own["start"] else goes).append(i)
+        late = places[goes]
+        late["n"] = [strings[i].count(b" ") + 2 - WINDOW for i in goes]
+        self.spans.append(late)
+        self.texts, self.places = [b"\n".join([strings[i] for i in stays])], [places[stays]]
+        self.size = self.floor = len(self.texts[0])
+
+    def close(self) -> pa.RecordBatch:
+        places = np.concatenate(self.places)
+        found = repeats(b"\n".join(self.texts), places["doc"], places["key"], places["start"].astype(np.int64))
+        return _spans(np.concatenate([found, *self.spans]))
 
-    def close() -> pa.RecordBatch:
-        texts, docs, keys, starts, known = zip(*held, strict=True)
-        text = b"\n".join(_unzip(x) for x in texts)
-        docs, keys, starts = (np.concatenate([np.frombuffer(_unzip(x), t) for x in xs]) for xs, t in ((docs, "<i8"), (keys, "<i4"), (starts, "<i4")))
-        return _spans(np.concatenate([repeats(text, docs, keys, starts.astype(np.int64)), *(np.frombuffer(x, _SPAN) for x in known)]))
 
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bucket, held = None, None
     for batch in batches:
         columns = [batch.column(i) for i in range(batch.num_columns)]
         for i, own in enumerate(columns[0].to_pylist()):
             if own != bucket:
                 if held:
-                    yield close()
-                bucket, held = own, []
-            held.append([columns[k][i].as_py() for k in (1, 3, 4, 5, 6)])
+                    yield held.close()
+                bucket, held = own, _Bucket()
+            held.add(*(columns[k][i].as_py() for k in (1, 3, 4, 5, 6)))
     if held:
-        yield close()
+        yield held.close()
 
 
 def _spans(x: np.ndarray) -> pa.RecordBatch:

@@ -65,6 +65,7 @@ def test_classes_against_brute_force(spark, documents):
 def test_blocks_change_nothing(spark, monkeypatch):
     rows = near_copies(random.Random(4), 80)
     monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 300)
     monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
     got = sorted((tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == brute(rows)
@@ -91,3 +92,29 @@ def test_bound_keeps_true_pairs():
     match = rng.random((100_000, neardup.HASHES)) < 0.75
     for n, least in neardup.least_matches():
         assert (match[:, :n].sum(axis=1) >= least).all()
+
+
+def test_strays_among_many_copies(spark):
+    """Nodes that share buckets with a large component, some of them linked to it only through members that are not its hub."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for k in range(i // 6):  # drifts away: neighbours are alike, the ends are not
+            w[k * 5 % 100] = f"x{k}"
+        w[rng.randrange(100)] = f"y{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, " ".join([f"z{i}{k}" for k in range(40)] + base[:60])) for i in range(10)]
+    got = sorted((tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_long_texts(spark):
+    """Texts over a step's bytes, near copies of each other, in one table with short ones."""
+    rng = random.Random(2)
+    long_ = [f"w{rng.randrange(10**6)}" for _ in range(400_000)]
+    other = long_[:-20_000] + [f"v{rng.randrange(10**6)}" for _ in range(20_000)]
+    rows = [(1, " ".join(long_)), (2, " ".join(other)), (3, "a b c d e f"), (4, "A b c d e f"), (5, None)]
+    got = sorted((tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert [r[2] for r in got] == [1, 1, 3, 3, 5]

@@ -24,8 +24,11 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("hot", [False, True, None])
 def test_against_brute_force(documents, monkeypatch, hot):
+    if hot is None:  # buckets are reduced at every block, and every text is a step of its own
+        monkeypatch.setattr(substrings, "HOLD", 1)
+        monkeypatch.setattr(substrings, "PIECE", 1)
     if hot:  # every repeated minimiser is split up
         monkeypatch.setattr(substrings, "HOT_LEAST", 0)
         monkeypatch.setattr(substrings, "HOT_MOST", 10)
@@ -51,3 +54,14 @@ def test_windows_hash_alike_wherever_they_stand():
     h = np.random.default_rng(0).integers(0, 2**63, 50, dtype=np.uint64)
     for k in (1, 2, 5, 13, 20):
         assert [int(windows(h[i : i + k], k)[0]) for i in range(51 - k)] == windows(h, k).tolist()
+
+
+def test_long_texts(spark):
+    """A passage of a text of several MB, which also stands in short ones."""
+    import random
+
+    rng = random.Random(1)
+    long_ = [f"w{rng.randrange(10**6)}" for _ in range(700_000)]
+    rows = [(5, " ".join(long_)), (2, " ".join(long_[350_000:350_060])), (9, " ".join(["x"] + long_[:25]))]
+    got = sorted((tuple(r) for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows) and [r[2] for r in got] == [0, 60, 25]
