@@ -115,11 +115,13 @@ def acquire(entries: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.withColumn("acquired", F.col("updated") | F.coalesce("acquired", F.lit(False))).drop("_i")
 
 
-def add_custom(entries: DataFrame, category: str, name: str, aliases: list[str] | None = None) -> DataFrame:
+def add_custom(entries: DataFrame, category: str, name: str, aliases: list[str] | None = None, task: str | None = None, count: int | None = None) -> DataFrame:
+    """entries with a custom one at the category's end; task and count become columns if either is given."""
     last = entries.filter(F.col("category_id") == category).agg((F.coalesce(F.max("pos"), F.lit(-1)) + 1).alias("pos"))
     row = last.select(
         F.lit(category).alias("category_id"), F.col("pos").cast("long").alias("pos"), F.lit(new_id(name)).alias("id"), F.lit(name).alias("name"),
         F.array(*[F.lit(a) for a in aliases or []]).cast("array<string>").alias("aliases"), F.lit(False).alias("acquired"), F.lit(CUSTOM).alias("source"), F.lit(None).cast("string").alias("tdev_id"),
+        *([] if task is None and count is None else [F.lit(task).cast("string").alias("task"), F.lit(count).cast("int").alias("count")]),
     )
     return entries.unionByName(row, allowMissingColumns=True)
 
@@ -133,6 +135,14 @@ def restart(entries: DataFrame) -> DataFrame:
     return entries.withColumn("acquired", F.lit(False))
 
 
+def advance(progress: DataFrame, most: int = 6) -> DataFrame:
+    """The next level of prestige, with all progress back to nothing; restart() does the same for the list."""
+    none = F.array().cast("array<string>")
+    return progress.withColumns(
+        {"prestige": F.least(F.lit(most), F.coalesce("prestige", F.lit(0)) + 1), "completed_tasks": none, "completed_hideout": none, "have": F.from_json(F.lit("{}"), "map<string,int>")}
+    )
+
+
 def set_completed(progress: DataFrame, column: str, item: str, done: bool) -> DataFrame:
     """Adds to or takes from a sorted distinct array; doing so twice changes nothing."""
     one = F.array(F.lit(item))

@@ -70,11 +70,18 @@ def unmapped(resolved: DataFrame) -> DataFrame:
     return resolved.filter("item_id is null").select("pos", "id", "name").orderBy("pos")
 
 
+def note(rows: DataFrame, most: int = 3) -> DataFrame:
+    """One row, if there is any name: the first names by pos, and an ellipsis if there are more."""
+    few = rows.orderBy("pos").limit(most + 1).agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("x")).filter("size(x) > 0")
+    names = F.transform(F.slice("x", 1, most), lambda r: r["name"])
+    return few.select(F.concat(F.array_join(names, ", "), F.when(F.size("x") > most, "…").otherwise("")).alias("note"))
+
+
 def fuzzy_lookup(queries: DataFrame, index: DataFrame, cutoff: float = FUZZY_CUTOFF, similarity: Callable[[Column, Column], Column] = weighted_ratio, length_band: float | None = None) -> DataFrame:
     """id, item_id, score: the key most similar to each query's name, first by key order on ties, cutoff or better.
 
-    Every query is compared with every key that shares a character pair and whose length can still
-    reach the cutoff; pairs are made by a join on the pair, never by a cross join.
+    Every query is compared with every key that shares a character pair (and, with a length_band, whose
+    length is that close); pairs are made by a join on the pair, never by a cross join.
     """
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1)), lambda i: F.substring(c, i, F.lit(2))))
     q = queries.select(F.col("id").alias("qid"), F.lower("name").alias("q"))

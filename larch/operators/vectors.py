@@ -94,49 +94,92 @@ def adjusted(score: Column, w: Column, h: Column, cached: Column, exact: Column)
     return score + (w * h - 1) * 0.012 + F.when(cached, 0.02).otherwise(0.0) + F.when(exact, 0.04).otherwise(0.0)
 
 
+def pool_rows(m: np.ndarray, group: int) -> np.ndarray:
+    """Means of each `group` consecutive entries of rows, centred and of unit length (if not flat)."""
+    n = m.shape[1] // group
+    means = m[:, : n * group].reshape(len(m), n, group).sum(axis=2) / group
+    flat = means - means.sum(axis=1, keepdims=True) / max(n, 1)
+    length = np.sqrt((flat * flat).sum(axis=1, keepdims=True))
+    return flat / np.where(length > NORM, length, 1.0)
+
+
 def pooled(vec: Column, group: int) -> Column:
-    """Means of each `group` consecutive entries, centred and of unit length (if not flat)."""
-    size = F.size(vec)
-    means = F.transform(F.sequence(F.lit(0), (size / group).cast("int") - 1), lambda i: F.aggregate(F.slice(vec, i * group + 1, F.lit(group)), F.lit(0.0), lambda a, x: a + x) / group)
-    centre = lambda v: F.transform(v, lambda x: x - F.aggregate(v, F.lit(0.0), lambda a, y: a + y) / F.size(v))
-    flat = centre(means)
-    length = F.sqrt(F.aggregate(flat, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(length > NORM, F.transform(flat, lambda x: x / length)).otherwise(flat)
+    """pool_rows() of a column of vectors; each batch is one matrix by length of vector."""
+
+    @F.pandas_udf("array<double>")
+    def udf(vectors: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(vectors), dtype=object)
+        sizes = vectors.map(lambda v: -1 if v is None else len(v)).to_numpy()
+        for n in np.unique(sizes[sizes >= 0]):
+            at = np.flatnonzero(sizes == n)
+            rows = pool_rows(np.stack([np.asarray(vectors.iloc[i], dtype=float) for i in at]), group)
+            for i, row in zip(at.tolist(), rows, strict=True):
+                out.iloc[i] = row
+        return out
+
+    return udf(vec)
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def shortlist_rerank(queries: DataFrame, references: DataFrame, bucket: str, short: int = SHORTLIST, unlike: bool = False) -> DataFrame:
-    """Per query the best of its shortlist: pooled cosine first, the masked pair correlation of the best few then.
+def shortlist(queries: DataFrame, references: DataFrame, bucket: str, short: int = SHORTLIST, unlike: bool = False) -> DataFrame:
+    """id, match_id, near, place: the `short` references of each query's bucket with the largest pooled cosine (to 9 places), the smaller id on ties.
 
-    queries, references: id, bucket, vec, mask, pool.  An empty bucket gives (null, -1).  unlike: a reference of
-    the query's own id is left out, for searches of a table in itself.  Grouped by bucket and salt as in score_cells.
+    Queries and references of a bucket are dealt to a grid of blocks; a block gives `short` rows a query, which meet by query.
     """
-    n = queries.count()
-    salts = max(1, -(-n // GROUP_CELLS))
-    q = queries.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    salts, blocks = max(1, -(-queries.count() // GROUP_CELLS)), max(1, -(-references.count() // GROUP_TEMPLATES))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("id", bucket, "pool").withColumn("salt", deal(salts)).withColumn("block", each(blocks))
     # Both sides may come from one table: new names keep their columns apart in the cogroup.
-    r = references.select(*[F.col(c).alias(f"r_{c}") for c in references.columns]).withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    r = references.select("id", bucket, "pool").withColumn("block", deal(blocks)).withColumn("salt", each(salts))
+    r = r.select(*[F.col(c).alias(f"r_{c}") for c in r.columns])
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        b = b.rename(columns=lambda c: c.removeprefix("r_")).sort_values("id") if len(b) else b  # an empty side has no columns
-        pool = np.stack(b["pool"].to_numpy()).astype(float) if len(b) else None
-        for x in a.itertuples() if len(a) else ():
-            best = (None, -1.0)
-            if pool is not None:
-                near = np.round(pool @ np.asarray(x.pool, dtype=float), 9)
-                order = np.lexsort((b["id"].to_numpy(), -near))[: short + 1]
-                for i in order[b["id"].to_numpy()[order] != x.id][:short] if unlike else order[:short]:
-                    s = pair_correlation(*(np.asarray(v, dtype=float) for v in (x.vec, x.mask, b["vec"].iloc[i], b["mask"].iloc[i])))
-                    if round(s, 9) > round(best[1], 9):
-                        best = (b["id"].iloc[i], s)
-            rows.append((x.id, best[0], best[1]))
-        return pd.DataFrame(rows, columns=["id", "match_id", "score"])
-
-    return q.groupBy(bucket, "salt").cogroup(r.groupBy(f"r_{bucket}", "r_salt")).applyInPandas(run, "id long, match_id long, score double")
+        none = pd.DataFrame({"id": np.zeros(0, np.int64), "match_id": np.zeros(0, np.int64), "near": np.zeros(0)})
+        if not len(a) or not len(b):
+            return none
+        b = b.sort_values("r_id")
+        ids, pool, out = b["r_id"].to_numpy(), np.stack(b["r_pool"].to_numpy()).astype(float), []
+        for lo in range(0, len(a), 256):
+            part = a.iloc[lo : lo + 256]
+            near = np.round(np.stack(part["pool"].to_numpy()).astype(float) @ pool.T, 9)
+            if unlike:
+                near[part["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+            best = np.argsort(-near, axis=1, kind="stable")[:, :short]
+            got = pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), best.shape[1]), "match_id": ids[best].reshape(-1), "near": np.take_along_axis(near, best, axis=1).reshape(-1)})
+            out.append(got[np.isfinite(got["near"])])
+        return pd.concat(out)
+
+    keys = [bucket, "salt", "block"]
+    found = q.groupBy(*keys).cogroup(r.groupBy(*[f"r_{k}" for k in keys])).applyInPandas(run, "id long, match_id long, near double")
+    w = Window.partitionBy("id").orderBy(F.desc("near"), "match_id")
+    return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= short)
+
+
+def _pair_scores(rows: pd.DataFrame) -> list[float]:
+    return [pair_correlation(*(np.asarray(v, dtype=float) for v in r)) for r in zip(rows["va"], rows["ma"], rows["vb"], rows["mb"], strict=True)]
+
+
+def shortlist_rerank(queries: DataFrame, references: DataFrame, bucket: str, short: int = SHORTLIST, unlike: bool = False) -> DataFrame:
+    """Per query the best of its shortlist: pooled cosine first, the masked pair correlation of the best few then.
+
+    queries, references: id (not null), bucket, vec, mask, pool.  An empty bucket gives (null, -1).  unlike: a
+    reference of the query's own id is left out, for searches of a table in itself.  Ties go to the place on the shortlist.
+    """
+    few = shortlist(queries, references, bucket, short, unlike)
+    pairs = few.join(queries.select("id", F.col("vec").alias("va"), F.col("mask").alias("ma")), "id").join(references.select(F.col("id").alias("match_id"), F.col("vec").alias("vb"), F.col("mask").alias("mb")), "match_id")
+
+    def run(batches):
+        for batch in batches:
+            yield batch[["id", "match_id", "place"]].assign(score=np.array(_pair_scores(batch), dtype=float))
+
+    scored = pairs.select("id", "match_id", "place", "va", "ma", "vb", "mb").mapInPandas(run, "id long, match_id long, place int, score double").filter("round(score, 9) > -1")
+    best = scored.groupBy("id").agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("place")).alias("p"), "match_id", "score")).alias("m"))
+    best = best.select(F.col("id").alias("_id"), F.col("m.match_id").alias("match_id"), F.col("m.score").alias("score"))
+    return queries.select(F.col("id").cast("long").alias("id")).join(best, F.col("id") == F.col("_id"), "left").select("id", "match_id", F.coalesce("score", F.lit(-1.0)).alias("score"))
 
 
 def shift_rescue(scores: DataFrame, shifted: DataFrame) -> DataFrame:

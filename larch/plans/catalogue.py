@@ -333,7 +333,15 @@ def q18_masked_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("accepted", vectors.accepted(F.col("score"), F.col("margin"), F.lit(0.35), F.col("cell_id") % 2 == 0))
 
 
-@query()
+@query("""with v as (select vec_id as id, embedding::double[] as v, list_transform(embedding::double[], lambda x: case when abs(x) > 0.01 then 1.0::double else 0.0::double end) as m from embeddings),
+p as (select *, list_transform(range(0, len(v) // 4), lambda i: (v[4 * i + 1] + v[4 * i + 2] + v[4 * i + 3] + v[4 * i + 4]) / 4) as p from v), c as (select *, list_transform(p, lambda x: x - list_sum(p) / len(p)) as f from p),
+u as (select id, v, m, list_transform(f, lambda x: x / case when sqrt(list_dot_product(f, f)) > 1e-6 then sqrt(list_dot_product(f, f)) else 1.0::double end) as u from c),
+near as (select q.id, r.id as rid, row_number() over (partition by q.id order by round(list_dot_product(q.u, r.u), 9) desc, r.id) as place from u q join u r on len(q.v) = len(r.v) and q.id <> r.id where q.id % 20 = 0),
+pair as (select n.id, n.rid, place, a.v as va, b.v as vb, list_transform(range(1, len(a.m) + 1), lambda i: a.m[i] * b.m[i]) as k from near n join v a on n.id = a.id join v b on n.rid = b.id where place <= 12),
+flat as (select *, list_transform(range(1, len(k) + 1), lambda i: k[i] * (va[i] - list_dot_product(va, k) / greatest(list_sum(k), 1))) as x, list_transform(range(1, len(k) + 1), lambda i: k[i] * (vb[i] - list_dot_product(vb, k) / greatest(list_sum(k), 1))) as y from pair),
+s as (select id, rid, place, case when list_sum(k) < 32 or sqrt(list_dot_product(x, x)) < 1e-6 or sqrt(list_dot_product(y, y)) < 1e-6 then -1 else list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))) end as score from flat),
+b as (select *, row_number() over (partition by id order by round(score, 9) desc, place) as n from s where round(score, 9) > -1)
+select v.id, rid as match_id, round(coalesce(score, -1), 6) as score, case when score >= 0.86 then 'strong' when score >= 0.55 then 'preset' else 'unknown' end as kind from v left join b on b.id = v.id and n = 1 where v.id % 20 = 0""")
 def q19_shortlist_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.size("embedding").alias("bucket"), F.col("embedding").cast("array<double>").alias("vec"))
     rows = emb.withColumn("mask", F.transform("vec", lambda x: F.when(F.abs(x) > 0.01, 1.0).otherwise(0.0))).withColumn("pool", vectors.pooled(F.col("vec"), 4))
@@ -468,7 +476,9 @@ def q31_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("newer", versions.is_newer("latest", "current"))
 
 
-@query()
+@query("""with x as (select page_id, regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1) as l from pages), y as (select page_id, unnest(l) as item, unnest(range(len(l))) as place from x),
+z as (select page_id, cast(place as int) as place, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(item, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) as item from y)
+select * from z where item <> ''""")
 def q32_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.list_items(load(spark, sf_dir, "pages"), "page_id", "html")
 

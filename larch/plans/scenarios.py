@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +47,11 @@ def sync(entries: DataFrame, names: list[str], index: DataFrame | None = None, l
     merged = keeplist.merge_names(entries, names)
     kept = merged.filter("status <> 'removed'")
     return (kept if index is None else keeplist.backfill_ids(kept, index)), keeplist.summary(merged)
+
+
+def reset(defaults: DataFrame, fetch: Callable[[], list[str]], index: DataFrame | None = None, least: int = 20) -> DataFrame:
+    """The default list, synced with fresh names if they can be had; a failing fetch leaves the defaults."""
+    try:
+        return sync(defaults, fetch(), index, least)[0]
+    except (OSError, ValueError):
+        return defaults

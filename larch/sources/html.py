@@ -11,48 +11,50 @@ from pyspark.sql import functions as F
 
 
 class TableParser(HTMLParser):
-    """Rows of the outermost tables, as lists of cell texts; what nests inside a cell's table is dropped."""
+    """Rows of the outermost tables, as lists of cell texts; what nests inside a cell's table is dropped.
+
+    Malformed markup: a cell outside a row is ignored, a cell or row that is still open when the next one opens is
+    lost, an open cell is kept at its row's or table's end, a closed row without cells is an empty list, and a table
+    that is never closed gives nothing.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tables: list[list[list[str]]] = []
-        self._depth, self._row, self._cell = 0, None, None
+        self._depth = 0
+        self._rows: list[list[str]] = []
+        self._row: list[str] | None = None
+        self._cell: list[str] | None = None
 
-    def _end_cell(self) -> None:
-        if self._cell is not None and self._row is not None:
+    def _keep_cell(self) -> None:
+        if self._cell is not None:
             self._row.append(" ".join("".join(self._cell).split()))
         self._cell = None
 
-    def _end_row(self) -> None:
-        self._end_cell()
-        if self._row:
-            self.tables[-1].append(self._row)
-        self._row = None
-
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag == "table":
             self._depth += 1
             if self._depth == 1:
-                self.tables.append([])
-        elif self._depth == 1 and tag == "tr":
-            self._end_row()
-            self._row = []
-        elif self._depth == 1 and tag in ("td", "th"):
-            self._end_cell()
-            self._row = [] if self._row is None else self._row
-            self._cell = []
-        elif tag == "br" and self._depth == 1 and self._cell is not None:
-            self._cell.append(" ")
+                self._rows, self._row, self._cell = [], None, None
+        elif self._depth == 1:
+            if tag == "tr":
+                self._row, self._cell = [], None
+            elif tag in ("td", "th") and self._row is not None:
+                self._cell = []
+            elif tag == "br" and self._cell is not None:
+                self._cell.append(" ")
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "table" and self._depth:
-            if self._depth == 1:
-                self._end_row()
             self._depth -= 1
-        elif self._depth == 1 and tag == "tr":
-            self._end_row()
-        elif self._depth == 1 and tag in ("td", "th"):
-            self._end_cell()
+            if not self._depth:
+                self._keep_cell()
+                self.tables.append(self._rows + ([self._row] if self._row else []))
+        elif self._depth == 1 and tag in ("tr", "td", "th"):
+            self._keep_cell()
+            if tag == "tr" and self._row is not None:
+                self._rows.append(self._row)
+                self._row = None
 
     def handle_data(self, data: str) -> None:
         if self._cell is not None and self._depth == 1:
@@ -84,7 +86,6 @@ def parse_tables(page: str | None) -> list[list[list[str]]]:
     parser = TableParser()
     parser.feed(page or "")
     parser.close()
-    parser._end_row()
     return parser.tables
 
 

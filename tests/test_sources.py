@@ -100,7 +100,7 @@ def level(n):
 
 
 def test_html(spark):
-    nested = "<p>x</p><table><tr><td>a <table><tr><td>no</td></tr></table> b</td><td>c&amp;d</table><table><tr><td>2"
+    nested = "<p>x</p><table><tr><td>a <table><tr><td>no</td></tr></table> b</td><td>c&amp;d</table><table><tr><td>2</table>"
     assert html.parse_tables(nested) == [[["a b", "c&d"]], [["2"]]] and html.parse_tables(None) == []
     pages = spark.createDataFrame([(1, TABLE.format("".join(map(level, range(1, 7))))), (2, "")], "k long, h string")
     got = html.levels(html.tables(pages, "k", "h"), "k").orderBy("level").collect()
@@ -137,3 +137,10 @@ def test_streaming(spark, tmp_path):
 def test_schema_struct():
     assert schemas.struct("a string, b array<struct<x:int,y:int>>") == "struct<a:string,b:array<struct<x:int,y:int>>>"
     assert identity.STRONG > identity.PRESET
+
+
+def test_malformed_tables():
+    parse = html.parse_tables
+    assert parse("<table><td>out</td><tr><td>a<td>b</td></tr><tr></tr><tr><td>c</table>") == [[["b"], [], ["c"]]]
+    assert parse("<table><tr><td>lost</td><tr><td>x</td></tr></table><table><tr><td>open</td></tr>") == [[["x"]]]
+    assert parse("</table><table></table>") == [[]]
