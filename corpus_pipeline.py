@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from larch.llm import mixing, neardup, pieces, quality, secrets
-from larch.llm.common import cut, drop, table
+from larch.llm.common import clear, cut, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), written()
     for k, (_, stage) in enumerate(STAGES):
         after = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             after = cut(after)
-            drop(docs)
+            clear(spark, before, after)  # what this stage left behind, and what it read
         docs = after
     return docs
