@@ -10,20 +10,34 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the cluster names it; a temporary one only if unset."""
+    """The folder that the driver and all executors share, as the cluster names it in spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a temporary one of its machine; on a cluster that would lose files, so it is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="larch-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+#: Folders that cut() has written and that are still there.
+_WRITTEN: set[str] = set()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: later stages survive lost executors and never recompute it."""
+    """Write df to the shared folder and read it back: later stages survive lost executors and never recompute it.
+
+    Operators that are read lazily leave some of these tables behind; clear() deletes them
+    once results are out.
+    """
     at = f"{shared_dir(df.sparkSession)}/larch-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
     out = df.sparkSession.read.schema(df.schema).parquet(at)
     out._larch_path = at
+    _WRITTEN.add(at)
     return out
 
 
@@ -31,9 +45,24 @@ def drop(df: DataFrame) -> None:
     """Delete a table made by cut(), once nothing reads it any more."""
     at = getattr(df, "_larch_path", None)
     if at:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, at)
+
+
+def written() -> frozenset[str]:
+    """The tables of cut() that are there."""
+    return frozenset(_WRITTEN)
+
+
+def clear(spark: SparkSession, before: frozenset[str], *keep: DataFrame) -> None:
+    """Delete the tables that cut() has written since `before`, but those to keep; nothing may read the others any more."""
+    for at in _WRITTEN - before - {getattr(df, "_larch_path", None) for df in keep}:
+        _delete(spark, at)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN.discard(at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
