@@ -96,7 +96,7 @@ TABLE = "<table><tr><th>Prestige level</th><th>Min PMC level</th><th>Quests</th>
 
 
 def level(n):
-    return f"<tr><td>Prestige {n}</td><td>{15 + n - 1}</td><td>q<br>r</td><td>o</td><td>s</td><td>h</td><td>500,000 <b>roubles</b>"
+    return f"<tr><td>Prestige {n}</td><td>{15 + n - 1}</td><td>q<br>r</td><td>o</td><td>s</td><td>h</td><td>500,000 <b>roubles</b></td></tr>"
 
 
 def test_html(spark):
