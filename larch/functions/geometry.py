@@ -11,6 +11,8 @@ from larch.functions.basics import clamp, col, round_even
 SLOT, SLOT_LOW, SLOT_HIGH = 63.0, 16, 64
 PITCH_LOW, PITCH_HIGH = 24, 200
 SQUARENESS, STRENGTH = 0.10, 1.6
+#: Label cutoffs, the longest short label, and the least occupied share of a footprint.
+AGREE, OVER, NEAR_EXACT, SHORT_LABEL, OCCUPIED = 78.0, 84.0, 99.0, 3, 0.72
 
 
 def slot_size(pixels: Column | str) -> Column:
@@ -54,3 +56,14 @@ def least_score(w: Column | str, h: Column | str) -> Column:
 def label_mode(pitch: Column | str) -> Column:
     """How far labels are trusted at a pitch: full, agree or off."""
     return F.when(col(pitch) >= 40, "full").when(col(pitch) >= 30, "agree").otherwise("off")
+
+
+def label_accepted(agrees: Column, score: Column, text: Column, contained: Column, exact: Column, mode: Column) -> Column:
+    """Whether a label's item may stand: agreeing ones easily, overriding ones at full legibility only, short ones if certain."""
+    over = F.when(F.length(text) <= SHORT_LABEL, score >= NEAR_EXACT).otherwise((score >= F.when(exact, NEAR_EXACT).otherwise(OVER)) & contained)
+    return F.coalesce(F.when(agrees, score >= AGREE).when(mode != "full", F.lit(False)).otherwise(over), F.lit(False))
+
+
+def footprint_fits(share: Column, w: Column | str, h: Column | str) -> Column:
+    """Whether enough of a footprint is occupied; single cells need none, and a negative share (out of the panel, or claimed) never fits."""
+    return (share >= 0) & ((share >= OCCUPIED) | (col(w) * col(h) == 1))

@@ -10,10 +10,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from larch.functions.geometry import AGREE, NEAR_EXACT, OCCUPIED, OVER, SHORT_LABEL
 from larch.operators.vectors import EXACT_SCORE, MARGIN
 
-#: Least occupied share of a footprint; label cutoffs; bonuses of size and source.
-OCCUPIED, AGREE, OVER, NEAR_EXACT, SHORT_LABEL = 0.72, 78.0, 84.0, 99.0, 3
+#: Bonuses of size and source.
 AREA_BONUS, CACHED_BONUS, EXACT_BONUS = 0.012, 0.02, 0.04
 FOUND = "frame_id string, panel int, row int, col int, w int, h int, item_id string, score double, margin double, rotated boolean, how string"
 _NAMES = [x.split()[0] for x in FOUND.split(", ")]

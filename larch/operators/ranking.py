@@ -31,10 +31,21 @@ def keep_last(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Da
 
 
 def reading_order(rows: DataFrame, keep: str = "keep", order: tuple[str, ...] = ("panel", "row", "col")) -> DataFrame:
-    """Numbers 1, 2, ... for rows not kept in reading order; kept rows are marked K and come last."""
-    w = Window.partitionBy(keep).orderBy(*order)
-    n = F.row_number().over(w)
-    return rows.withColumn("number", F.when(F.col(keep), "K").otherwise(n.cast("string"))).withColumn("place", n)
+    """Numbers 1, 2, ... for rows not kept in reading order; kept rows are marked K and come last.
+
+    Rows are numbered within their line (all of `order` but the last), and lines start where those before end, so only
+    one count a line is gathered, and no window spans the table.
+    """
+    line = [keep, *order[:-1]]
+    heads = rows.groupBy(*line).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(keep).orderBy(*order[:-1]).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(*[F.col(c).alias(f"_{c}") for c in line], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_head"))
+    match = F.lit(True)
+    for c in line:
+        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    n = (F.col("_head") + F.row_number().over(Window.partitionBy(*line).orderBy(order[-1]))).cast("long")
+    out = rows.join(heads, match).withColumn("place", n)
+    return out.withColumn("number", F.when(F.col(keep), "K").otherwise(F.col("place").cast("string"))).drop("_head", *[f"_{c}" for c in line])
 
 
 def clamped_balance(edits: DataFrame, key: str, order: list[Column], delta: str, start: Column | None = None) -> DataFrame:

@@ -82,11 +82,11 @@ def scan(frames: DataFrame, panels: DataFrame, templates: DataFrame, slot: int,
     place = ["frame_id", "panel", "row", "col", "w", "h"]
     still = footprints(frames, panels, sizes, slot)
     names = templates.select("template", "source", "rotated")
-    scores = _best(vectors.score_cells(still, templates), still, place)
+    scores = _best(vectors.score_cells(still, templates, top_items=2), still, place)
     weak = scores.filter((F.col("score") < vectors.GOOD) | (F.col("margin") < vectors.MARGIN))
     if shifts:
         moved = footprints(frames, panels, sizes, slot, shifts).join(weak.select(*place), place, "left_semi")
-        again = _best(vectors.score_cells(moved, templates), moved, place).select(*place, *[F.col(c).alias(f"n_{c}") for c in ("item_id", "template", "score", "margin")])
+        again = _best(vectors.score_cells(moved, templates, top_items=2), moved, place).select(*place, *[F.col(c).alias(f"n_{c}") for c in ("item_id", "template", "score", "margin")])
         scores = scores.join(again, place, "left")
         better = F.col("n_score") > F.col("score")
         scores = scores.select(*place, *[F.when(better, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in ("item_id", "template", "score", "margin")])

@@ -46,10 +46,26 @@ def pair_correlation(a: np.ndarray, ma: np.ndarray, b: np.ndarray, mb: np.ndarra
     return -1.0 if min(length) < NORM else float(x @ y / (length[0] * length[1]))
 
 
-def score_cells(cells: DataFrame, templates: DataFrame, top: int | None = None) -> DataFrame:
+def best_items(scores: np.ndarray, items: np.ndarray, n: int, digits: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the best template of each row's n best items, of all items that tie with the n-th to `digits` places."""
+    kinds, code = np.unique(items, return_inverse=True)
+    by = np.argsort(code, kind="stable")
+    head = np.searchsorted(code[by], np.arange(len(kinds)))
+    most = np.maximum.reduceat(scores[:, by], head, axis=1)
+    shown = np.round(most, digits)
+    bar = -np.partition(-shown, min(n, len(kinds)) - 1, axis=1)[:, min(n, len(kinds)) - 1]
+    i, k = np.nonzero(shown >= bar[:, None])
+    ends = np.append(head[1:], len(by))
+    column = np.array([by[head[b] + int(np.argmax(scores[a, by[head[b] : ends[b]]]))] for a, b in zip(i.tolist(), k.tolist(), strict=True)], dtype=np.int64)
+    return i, column
+
+
+def score_cells(cells: DataFrame, templates: DataFrame, top: int | None = None, top_items: int | None = None) -> DataFrame:
     """cell_id, item_id, template, score of cells (cell_id, w, h, vec) against templates (w, h, template, item_id, vec, mask).
 
-    Templates whose mask holds fewer than 16 samples are left out.  top: keep the best so many by cell.
+    Templates whose mask holds fewer than 16 samples are left out.  top: keep the best so many by cell.  top_items: give
+    out only the best template of a cell's so many best items in each block; two are enough for a best item and its
+    margin, as only the best item can stand before the rival in the rival's block.
     """
     salts, blocks = max(1, -(-cells.count() // GROUP_CELLS)), max(1, -(-templates.count() // GROUP_TEMPLATES))
     left = cells.select(F.col("cell_id").cast("string").alias("cell_id"), "w", "h", F.col("vec").cast("array<double>").alias("vec")).withColumn("salt", F.pmod(F.xxhash64("cell_id"), F.lit(salts)).cast("int"))
@@ -71,6 +87,10 @@ def score_cells(cells: DataFrame, templates: DataFrame, top: int | None = None)
         for lo in range(0, len(c), 256):
             part = c.iloc[lo : lo + 256]
             s = masked_ncc(np.stack(part["vec"].to_numpy()).astype(float), unit, masks, counts)
+            if top_items is not None:
+                i, j = best_items(s, t["item_id"].to_numpy(), top_items)
+                out.append(pd.DataFrame({"cell_id": part["cell_id"].to_numpy()[i], "item_id": t["item_id"].to_numpy()[j], "template": t["template"].to_numpy()[j], "score": s[i, j]}))
+                continue
             k = len(t) if top is None else min(top, len(t))
             best = np.argsort(-s, axis=1, kind="stable")[:, :k]
             out.append(pd.DataFrame({"cell_id": np.repeat(part["cell_id"].to_numpy(), k), "item_id": t["item_id"].to_numpy()[best.reshape(-1)], "template": t["template"].to_numpy()[best.reshape(-1)], "score": np.take_along_axis(s, best, axis=1).reshape(-1)}))

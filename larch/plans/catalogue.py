@@ -320,7 +320,7 @@ best as (select cell_id, max(item_id) filter (n = 1) as item_id, max(score) filt
 @query(f"with {_ncc_sql('1.0')}, {_MARGIN_SQL} select cell_id, item_id::varchar as item_id, score, margin from best")
 def q17_best_with_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = load(spark, sf_dir, "embeddings")
-    scores = vectors.score_cells(_cells(emb), _templates(emb, False)).withColumn("score", F.round("score", 6))
+    scores = vectors.score_cells(_cells(emb), _templates(emb, False), top_items=2).withColumn("score", F.round("score", 6))
     return ranking.best_with_margin(scores, "cell_id").select(F.col("cell_id").cast("long").alias("cell_id"), "item_id", "score", F.round("margin", 6).alias("margin"))
 
 
@@ -328,7 +328,7 @@ def q17_best_with_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 select cell_id, item_id::varchar as item_id, score, margin, score >= 0.35 and (margin >= 0.04 or (cell_id % 2 = 0 and score >= 0.75)) as accepted from best""")
 def q18_masked_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = load(spark, sf_dir, "embeddings")
-    scores = vectors.score_cells(_cells(emb), _templates(emb, True)).withColumn("score", F.round("score", 6))
+    scores = vectors.score_cells(_cells(emb), _templates(emb, True), top_items=2).withColumn("score", F.round("score", 6))
     best = ranking.best_with_margin(scores, "cell_id").select(F.col("cell_id").cast("long").alias("cell_id"), "item_id", "score", F.round("margin", 6).alias("margin"))
     return best.withColumn("accepted", vectors.accepted(F.col("score"), F.col("margin"), F.lit(0.35), F.col("cell_id") % 2 == 0))
 

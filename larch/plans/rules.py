@@ -385,3 +385,13 @@ def q66_match_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = load(spark, sf_dir, "supplier").select(s.alias("item_id"), F.concat("s_name", F.lit(" bolt")).alias("name"), F.col("s_name").alias("shortName"), (1 + s % 3).alias("width"), (1 + s % 2).alias("height"), s.alias("pos"))
     near = lambda a, b: F.round((1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)).cast("double")) * 100, 6)
     return lookup.match_labels(labels, items, 20.0, near).select("id", "item_id", "key", "score")
+
+
+@query("""with x as (select p_partkey, p_partkey % 4 = 0 as agrees, p_size * 2.0::double as score, p_name as text, p_partkey % 3 <> 0 as contained, p_partkey % 5 = 0 as exact, case p_partkey % 3 when 0 then 'full' when 1 then 'agree' else 'full' end as mode,
+ (p_size % 11 - 1) / 10.0::double as share, 1 + p_partkey % 2 as w from part), y as (select *, case when p_partkey % 6 = 0 then substr(text, 1, 3) else text end as label from x)
+select p_partkey, case when agrees then score >= 78 when mode <> 'full' then false when length(label) <= 3 then score >= 99 else score >= case when exact then 99 else 84 end and contained end as accepted, share >= 0 and (share >= 0.72::double or w = 1) as fits from y""")
+def q67_label_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(_p() % 6 == 0, F.substring("p_name", 1, 3)).otherwise(F.col("p_name"))
+    accepted = geometry.label_accepted(_p() % 4 == 0, F.col("p_size") * 2.0, label, _p() % 3 != 0, _p() % 5 == 0, F.when(_p() % 3 == 1, "agree").otherwise("full"))
+    fits = geometry.footprint_fits((F.col("p_size") % 11 - 1) / 10.0, 1 + _p() % 2, F.lit(1))
+    return load(spark, sf_dir, "part").select("p_partkey", accepted.alias("accepted"), fits.alias("fits"))
