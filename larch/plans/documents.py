@@ -199,3 +199,39 @@ def q83_probe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, index = part.select(h.alias("hash"), F.col("p_partkey").alias("item_id")), part.filter("p_partkey % 3 <> 1").select(h.alias("hash")).distinct()
     hits = identity.probe(items, index).first()["hits"]
     return identity.collisions(items).withColumn("hits", F.lit(hits).cast("long"))
+
+
+_IMAGES = "p_partkey long, blended long, opaque long, coloured long, blanked long, turns long, empty boolean, block long"
+
+
+@query("""with px as (select p_partkey as p, x, y, (p_partkey + 3 * y + 5 * x) % 256 as b, (2 * p_partkey + y) % 256 as g, (7 * x + p_partkey) % 256 as r, case when (p_partkey * (x + 1) + y) % 3 = 0 then 255 else 0 end as a,
+  case when p_partkey % 4 = 0 then 40 + (x + y) % 3 else (p_partkey * x + y * 11) % 256 end as v from part, (select unnest(range(16)) as x), (select unnest(range(12)) as y)),
+e as (select p, stddev_pop(v) as s, avg((v > 58)::int) as bright from px where x between 4 and 11 and y between 4 and 7 group by 1)
+select p as p_partkey, cast(sum(case when a = 255 then b + g + r else 60 end) as bigint) as blended, cast(sum((a > 32)::int) as bigint) as opaque, cast(sum((greatest(b, g, r) - least(b, g, r) > 12)::int) as bigint) as coloured,
+ cast(sum(case when y < 3 or (x >= 12 and (y < 4 or y >= 8)) then 7 else b end) as bigint) as blanked, case when p % 2 = 0 then 1 else 3 end::bigint as turns, any_value(s) < 5 and any_value(bright) < 0.04 as empty,
+ cast(sum(b) filter (x >= 2 and x < 6 and y >= 4 and y < 8) as bigint) as block from px join e using (p) group by p""")
+def q84_image_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small images of every part: alpha blended, foreground with and without alpha, blanked, turned, emptiness and a block of a cell."""
+    import numpy as np
+    import pandas as pd
+
+    from larch.operators import images
+
+    def run(batches):
+        x, y = np.meshgrid(np.arange(16), np.arange(12))
+        for batch in batches:
+            rows = []
+            for p in batch["p_partkey"].tolist():
+                bgr = [(p + 3 * y + 5 * x) % 256, (2 * p + y) % 256 + 0 * x, (7 * x + p) % 256 + 0 * y]
+                image = np.stack([*bgr, np.where((p * (x + 1) + y) % 3 == 0, 255, 0)], axis=2).astype(np.uint8)
+                grey = np.where(p % 4 == 0, 40 + (x + y) % 3, (p * x + y * 11) % 256).astype(np.uint8)
+                block = images.cell_block(image, {"origin_x": 2.0, "origin_y": 0.4, "cell_w": 4.0, "cell_h": 4.0}, 0, 1, 1, 1)
+                rows.append(
+                    (
+                        p, int(images.on_background(image, (10, 20, 30)).sum(dtype=np.int64)), int(images.foreground(image).sum()), int(images.foreground(image[:, :, :3]).sum()), int(images.blank(image[:, :, 0], value=7).sum(dtype=np.int64)),
+                        sum(1 for _ in images.rotations(image, 1 + p % 2, 1)), images.is_empty(grey, {"origin_x": 0.0, "origin_y": 0.0, "cell_w": 16.0, "cell_h": 12.0}, 0, 0), int(block[:, :, 0].sum(dtype=np.int64)),
+                    )
+                )
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _IMAGES.split(", ")])
+
+    return load(spark, sf_dir, "part").select("p_partkey").mapInPandas(run, _IMAGES)
