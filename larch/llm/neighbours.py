@@ -194,7 +194,8 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = K, query_block:
     grid = [(r["_dim"], -(-r["n_q"] // query_block), -(-r["n_c"] // candidate_block)) for r in grid.filter("n_q > 0 and n_c > 0").collect()]
     tasks = max(1, min(MOST_TASKS, sum(rows * cols for _, rows, cols in grid)))
     grid = q.sparkSession.createDataFrame(grid, "_dim int, _rows long, _cols long")
-    q, c = (x.join(grid, F.col("dim") == F.col("_dim")) for x in (q, c))
+    # A row a length; k lengths take k^2 / 2 components at least, so the grid is smaller than the root of the tables.
+    q, c = (x.join(F.broadcast(grid), F.col("dim") == F.col("_dim")) for x in (q, c))
     deal = lambda n: F.pmod(F.xxhash64("id", F.lit(17)), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     q = q.withColumn("_at", each("_cols")).select((F.col("_at") + deal("_rows") * F.col("_cols")).alias("cell"), "dim", F.lit(0).alias("side"), "id", "vec")
