@@ -42,53 +42,35 @@ def merge_exact(entries: DataFrame, names: DataFrame, category: str = COLLECTOR)
     )
 
 
-def _merge(group: pd.DataFrame, names: list[str], category: str) -> pd.DataFrame:
-    rows = group.sort_values("pos").to_dict("records")
-    for r in rows:
-        r["aliases"] = list(r["aliases"]) if r["aliases"] is not None else []
-    by_name = {r["name"].casefold(): r for r in rows}
-    claimed: set[str] = set()
-    pos = max([r["pos"] for r in rows], default=-1)
-    for name in names:
-        hit = by_name.get(name.casefold())
-        if hit is None:
-            best = RENAME_CUTOFF
-            for r in rows:
-                if r["id"] not in claimed and r["source"] != CUSTOM:
-                    score = token_set(plain(name), plain(r["name"]))
-                    if score > best or (score == best and hit is None):
-                        best, hit = score, r
-            if hit is not None and hit["name"].casefold() != name.casefold():
-                if hit["name"] not in hit["aliases"]:
-                    hit["aliases"].append(hit["name"])
-                hit["name"] = name
-        if hit is None:
-            pos += 1
-            hit = {"category_id": category, "pos": pos, "id": new_id(name), "name": name, "aliases": [], "acquired": False, "tdev_id": None, "status": "added"}
-            rows.append(hit)
-        claimed.add(hit["id"])
-        hit["source"] = LISTED
-    for r in rows:
-        kept = r["id"] in claimed or r["source"] == CUSTOM
-        r["status"] = "removed" if not kept else "added" if r.get("status") == "added" else "kept"
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in MERGED.split(", ")])
+def _renamed(loose: pd.DataFrame) -> pd.DataFrame:
+    """Added names, in order, take over the removed entry that is most like them, if it is nearly the same."""
+    order = loose.sort_values("pos", kind="stable")
+    gone = order[order["status"] == "removed"].reset_index(drop=True)
+    words = [plain(x) for x in gone["name"]]
+    free = list(range(len(gone)))
+    out = []
+    for fresh in order[order["status"] == "added"].to_dict("records"):
+        likeness = [token_set(plain(fresh["name"]), words[i]) for i in free]
+        if likeness and max(likeness) >= RENAME_CUTOFF:
+            old = gone.iloc[free.pop(likeness.index(max(likeness)))].to_dict()
+            aliases = list(old["aliases"])
+            fresh = old | {"name": fresh["name"], "aliases": aliases + [old["name"]] * (old["name"] not in aliases), "source": LISTED, "status": "kept"}
+        out.append(fresh)
+    return pd.DataFrame([*out, *gone.iloc[free].to_dict("records")], columns=[c.split()[0] for c in MERGED.split(", ")])
 
 
 def merge_names(entries: DataFrame, names: list[str], category: str = COLLECTOR) -> DataFrame:
-    """The full merge with renames, which depend on what earlier names have claimed: one category, one group.
+    """merge_exact(), and then renames among what it adds and removes.
 
     A name that is there keeps its entry; one that is nearly there (token-set ratio 95 or more, of entries
-    not claimed and not custom) renames it and keeps the old name as an alias; others are added.  Entries
-    that no name claims are removed unless custom.  The list is one category of one user, so it is small.
+    that no name has and that are not custom) renames it and keeps the old name as an alias; others are added.  Entries
+    that no name claims are removed unless custom.  Which entry a name takes depends on the names before it, so
+    this step is one group; it holds only the names and entries of one list that have no exact counterpart.
     """
-    mine = entries.filter(F.col("category_id") == category).select("category_id", "pos", "id", "name", "aliases", "acquired", "source", "tdev_id")
-    # An empty category must still be merged: an empty side row makes its group.
-    anchor = entries.sparkSession.createDataFrame([(category,)], "category_id string")
-
-    def run(side: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
-        return _merge(group, names, category)
-
-    return anchor.groupBy("category_id").cogroup(mine.groupBy("category_id")).applyInPandas(run, MERGED)
+    listed = entries.sparkSession.createDataFrame(list(enumerate(names)), "pos long, name string")
+    merged = merge_exact(entries, listed, category)
+    loose = merged.filter("status <> 'kept'").groupBy("category_id").applyInPandas(_renamed, MERGED)
+    return merged.filter("status = 'kept'").unionByName(loose)
 
 
 def summary(merged: DataFrame) -> DataFrame:
