@@ -52,3 +52,65 @@ def test_bound_loses_no_unit(spark, monkeypatch):
     got, plain = best(), licences._units
     monkeypatch.setattr(licences, "_units", lambda idf, limits: plain(idf, (0.0, 0.0)))
     assert got == best() and len(got) > 30
+
+
+def direct(rows):
+    """path -> (own licence, its cosine, licence, how) by plain loops over all windows, texts and directories."""
+    import math
+    import re
+    from collections import Counter
+
+    lines = {path: licences._lines(text or "") for _, path, text in rows}
+    df = Counter(w for x in lines.values() for line in x for w in set(line))
+    bags = [(name, Counter(licences._words(text.lower()))) for name, text in licences.TEMPLATES]
+    for _, bag in bags:
+        df.update(set(bag))
+    n = sum(map(len, lines.values())) + len(bags)
+    idf = {w: math.log((1 + n) / (1 + k)) + 1 for w, k in df.items()}
+    norm = lambda bag: math.sqrt(sum((c * idf[w]) ** 2 for w, c in bag.items()))
+
+    def best(units):
+        top = {}
+        for words in units:
+            bag = Counter(words)
+            for name, t in bags:
+                cosine = round(sum(c * t[w] * idf[w] ** 2 for w, c in bag.items() if w in t) / (norm(bag) * norm(t)), 9)
+                top[name] = max(top.get(name, 0.0), cosine)
+        return min(((-c, name) for name, c in top.items()), default=(0.0, None))
+
+    own, speaks, told = {}, {}, {}
+    for path, x in lines.items():
+        c, name = best([sum(x[i:j], []) for i in range(len(x)) for j in range(i + 1, min(i + licences.WINDOW, len(x)) + 1)])
+        own[path] = (name, -c) if -c >= licences.LINE_COSINE else (None, None)
+        c, whole = best([sum(x, [])] if x else [])
+        named = re.search(licences.FILE_NAMES, path)
+        if -c >= licences.FILE_COSINE or (named and (whole or own[path][0])):
+            told[path] = whole if -c >= licences.FILE_COSINE else own[path][0] or whole
+    for path in sorted(told):
+        speaks.setdefault(path.rpartition("/")[0], told[path])
+    out = {}
+    for path in lines:
+        name = own[path][0] or told.get(path)
+        at, how = path.rpartition("/")[0], "own"
+        while name is None and at is not None:
+            name, how = speaks.get(at), "inherited"
+            at = at.rpartition("/")[0] if at else None
+        out[path] = (*own[path], name, how if name else None)
+    return out
+
+
+def test_against_plain_loops(spark):
+    """Headers in code, wrapped ones, whole licence files, ties between templates, and files that inherit."""
+    code = "import os\ndef f(x):\n    return x + 1\n"
+    t = [text for _, text in licences.TEMPLATES]
+    wrapped = "\n".join(t[9][i : i + 40] for i in range(0, len(t[9]), 40))
+    rows = [
+        (1, "a/LICENSE", t[11] + "\n" + t[10]), (2, "a/x.py", code), (3, "a/b/y.py", f"# {t[0]}\n{code}"), (4, "a/b/z.py", f"{code}{wrapped}\n{code}"), (5, "c/d/e/f.py", code), (6, "c/COPYING", t[12]), (7, "c/d/NOTICE", None),
+        (8, "g.py", ""), (9, "h/SPDX.txt", "SPDX-License-Identifier: MIT"), (10, "h/i/j", "the licence of the house and this work"), (11, "k/l", t[4] + " " + t[6]), (12, "m", "This work is licensed under a licence\n" * 3 + code),
+    ]
+    table = spark.createDataFrame(rows, "row long, path string, text string")
+    got = {r["path"]: (r["own_licence"], r["own_cosine"], r["licence"], r["how"]) for r in licences.licences(table).collect()}
+    want = direct(rows)
+    assert {p: (x[0], x[2], x[3]) for p, x in got.items()} == {p: (x[0], x[2], x[3]) for p, x in want.items()}
+    assert all((x[1] is None) == (want[p][1] is None) and abs((x[1] or 0) - (want[p][1] or 0)) < 1e-8 for p, x in got.items())
+    assert len({x[2] for x in want.values()}) >= 4 and "inherited" in {x[3] for x in want.values()}
