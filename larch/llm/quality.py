@@ -2,9 +2,10 @@
 
 For every whole text the words (see words.py) form a sequence.  A suffix array over the words,
 built by prefix doubling on the suffixes that still tie, gives longest-common-prefix (LCP)
-intervals.  An interval of LCP l >= `min_len` is a repeated substring of l words; the union of
-the spans of all its occurrences is the covered part of the text.  A text fails when the covered
-fraction or the longest repeat passes its limit.
+intervals.  An interval of LCP l >= `min_len` is a repeated substring of l words, maximal if its
+occurrences don't all follow the same word; the union of the spans of all occurrences of the maximal
+ones is the covered part of the text.  A text fails when the covered fraction or the longest
+maximal repeat passes its limit.  Words are compared by hashes that their bytes have confirmed.
 
 Defined cases: a null or empty text has no words, fails the word-count rule and is rejected; a
 null doc_id is carried through; repeated rows are judged each on its own; very long texts are
@@ -40,7 +41,7 @@ def suffix_ranks(h: np.ndarray, text: np.ndarray, n: int, k: int = WINDOW) -> tu
     """Suffix array and LCP over the positions whose k-word window occurs twice or more in the same text.
 
     h: word hashes; text: number of the text of each word; n: first position of the next text for each word.
-    Returns (sa, lcp): positions text by text in lexicographic order of their suffixes (words compare by hash),
+    Returns (sa, lcp): positions text by text in lexicographic order of their suffixes (words compare by hash, see Words.exact),
     and the LCP in words of sa[i] with sa[i - 1] (0 at a text's first).  Positions left out share no k words
     with any other of their text, so they take part in no repeat of k words.
     """
@@ -111,78 +112,63 @@ def suffix_ranks(h: np.ndarray, text: np.ndarray, n: int, k: int = WINDOW) -> tu
     return at, lcp
 
 
-def covered(sa: np.ndarray, lcp: np.ndarray, n: int, min_len: int) -> np.ndarray:
-    """Boolean per word: inside an occurrence of a substring of min_len words or more that is repeated."""
-    reach = np.maximum(lcp, np.append(lcp[1:], 0)) if len(lcp) else lcp
-    far = reach >= min_len
-    edge = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(edge, sa[far], 1)
-    np.add.at(edge, sa[far] + reach[far], -1)
-    return np.cumsum(edge[:-1]) > 0
-
+def intervals(sa: np.ndarray, lcp: np.ndarray, h: np.ndarray, first: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The LCP intervals of min_len words or more that are maximal repeats: not all their occurrences follow the same word.
 
-def maximal_repeats(sa: np.ndarray, lcp: np.ndarray, h: np.ndarray, first: np.ndarray, min_len: int) -> list[tuple[int, list[int]]]:
-    """(length, sorted positions) of each LCP interval that can't be extended to the left either.
-
-    first: first position of the text of each word.  Intervals are found with the usual stack.
+    Returns (length, low, high, reach): the intervals as slots sa[low] to sa[high], and for each slot the length of the
+    innermost of them that holds it (0: none).  first: first position of the text of each word.  One sweep with the
+    usual stack; inner intervals close first, so each slot is written once, however deep they are nested.
     """
-    out: list[tuple[int, int, int]] = []
-    stack: list[tuple[int, int]] = []  # (lcp, left bound)
-    values = lcp.tolist() + [0]
-    for i in range(1, len(values)):
-        left, value = i - 1, values[i]
-        while stack and stack[-1][0] > value:
-            top, left = stack.pop()
-            if top >= min_len:
-                out.append((top, left, i - 1))
-        if value > 0 and (not stack or stack[-1][0] < value):
-            stack.append((value, left))
-    found = []
-    for length, lo, hi in out:
-        at = sa[lo : hi + 1]
-        if (at == first[at]).any() or (h[at - 1] != h[at[0] - 1]).any():
-            found.append((length, sorted(at.tolist())))
-    return found
-
-
-def count_maximal(sa: np.ndarray, lcp: np.ndarray, h: np.ndarray, first: np.ndarray, text: np.ndarray, n_texts: int, min_len: int) -> np.ndarray:
-    """Number of maximal repeats by text, from the same intervals in one sweep without listing their positions."""
-    counts = np.zeros(n_texts, dtype=np.int64)
-    if not len(sa):
-        return counts
-    before = np.where(sa == first[sa], np.uint64(0), mix(h[np.maximum(sa - 1, 0)], 5) | np.uint64(1)).tolist()
-    values, place = lcp.tolist() + [0], text[sa].tolist()
-    stack: list[list] = []  # [lcp, left context or None once they differ]
-    for i in range(1, len(values)):
-        value, left = values[i], before[i - 1] or None
-        while stack and stack[-1][0] > value:
-            top, own = stack.pop()
-            left = left if left == own else None
-            if top >= min_len and left is None:
-                counts[place[i - 1]] += 1
-        if value > 0:
-            if stack and stack[-1][0] == value:
-                stack[-1][1] = left if left == stack[-1][1] else None
+    out, reach, bare = [], [0] * len(sa), []
+    if len(sa):
+        before = np.where(sa == first[sa], np.uint64(0), mix(h[np.maximum(sa - 1, 0)], 5) | np.uint64(1)).tolist()
+        values = lcp.tolist() + [0]
+        stack: list[list] = []  # [lcp, word before all occurrences or None if they differ, low]
+        for i in range(1, len(values)):
+            value, left, low = values[i], before[i - 1] or None, i - 1
+            bare.append(i - 1)
+            while stack and stack[-1][0] > value:
+                top, own, low = stack.pop()
+                left = left if left == own else None
+                if top >= min_len and left is None:
+                    out.append((top, low, i - 1))
+                    while bare and bare[-1] >= low:
+                        reach[bare.pop()] = top
+            if value > 0:
+                if stack and stack[-1][0] == value:
+                    stack[-1][1] = left if left == stack[-1][1] else None
+                else:
+                    stack.append([value, left, low])
             else:
-                stack.append([value, left])
-    return counts
+                bare.clear()
+    length, low, high = np.array(out, dtype=np.int64).reshape(-1, 3).T
+    return length, low, high, np.array(reach, dtype=np.int64)
+
+
+def covered(sa: np.ndarray, reach: np.ndarray, n: int) -> np.ndarray:
+    """Boolean per word: in the union of the spans of all occurrences of the intervals."""
+    edge = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edge, sa, reach > 0)
+    np.add.at(edge, sa + reach, -(reach > 0).astype(np.int64))
+    return np.cumsum(edge[:-1]) > 0
 
 
 def _judge(batch: pa.RecordBatch) -> pa.RecordBatch:
     texts = batch.column(1)
     data, offsets = buffers(texts)
     words = Words(data, offsets)
-    h, first, counts = words.hashes(), words.first, words.counts
+    h, first, counts = words.exact(), words.first, words.counts
     n_texts = len(counts)
     text = np.repeat(np.arange(n_texts), counts)
     sa, lcp = suffix_ranks(h, text, first[1:][text])
-    inside = covered(sa, lcp, len(h), WINDOW)
+    length, low, _, reach = intervals(sa, lcp, h, first[:-1][text], WINDOW)
+    inside = covered(sa, reach, len(h))
     total = lambda x: np.concatenate(([0], np.cumsum(x, dtype=np.int64)))
     per = lambda x, at: np.diff(total(x)[at])
     repeat = per(inside, first)
     longest = np.zeros(n_texts, dtype=np.int64)
-    np.maximum.at(longest, text[sa], np.where(lcp >= WINDOW, lcp, 0))
-    maximal = count_maximal(sa, lcp, h, first[:-1][text], text, n_texts, WINDOW)
+    np.maximum.at(longest, text[sa[low]], length)
+    maximal = np.bincount(text[sa[low]], minlength=n_texts)
     chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     held = np.concatenate(([0], np.cumsum(chars[words.end] - chars[words.start])))
     symbols = per(_SYMBOLS[data], offsets)
@@ -226,10 +212,9 @@ def keep(docs: DataFrame) -> DataFrame:
 
 def repeats(text: str, min_len: int = WINDOW) -> list[tuple[int, list[int]]]:
     """The maximal repeated substrings of one text: (length in words, first words of the occurrences)."""
-    data, offsets = buffers(pa.array([text]))
-    words = Words(data, offsets)
-    h = words.hashes()
-    n = np.full(len(h), len(h))
+    words = Words(*buffers(pa.array([text])))
+    h = words.exact()
     zero = np.zeros(len(h), dtype=np.int64)
-    sa, lcp = suffix_ranks(h, zero, n, min(min_len, WINDOW))
-    return sorted(maximal_repeats(sa, lcp, h, zero, min_len))
+    sa, lcp = suffix_ranks(h, zero, np.full(len(h), len(h)), min(min_len, WINDOW))
+    length, low, high, _ = intervals(sa, lcp, h, zero, min_len)
+    return sorted((n, sorted(sa[lo : hi + 1].tolist())) for n, lo, hi in zip(length.tolist(), low.tolist(), high.tolist(), strict=True))

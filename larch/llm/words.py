@@ -103,6 +103,23 @@ class Words:
             return mix(np.add.reduceat(value, head) + length.astype(np.uint64))
 
 
+    def exact(self) -> np.ndarray:
+        """hashes(), but words of different bytes never share one: equal hashes are compared byte by byte."""
+        h = self.hashes()
+        order = np.argsort(h, kind="stable")
+        same = np.flatnonzero(h[order][1:] == h[order][:-1])
+        a, b = order[same], order[same + 1]
+        length = self.end - self.start
+        if (length[a] == length[b]).all():
+            size = length[a]
+            place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            if (self.data[np.repeat(self.start[a], size) + place] == self.data[np.repeat(self.start[b], size) + place]).all():
+                return h
+        raw, ids = self.data.tobytes(), {}
+        spans = zip(self.start.tolist(), self.end.tolist(), strict=True)
+        return mix(np.array([ids.setdefault(raw[lo:hi], len(ids)) for lo, hi in spans], dtype=np.uint64))
+
+
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive entries of h: len(h) - k + 1 values (none if fewer)."""
     if len(h) < k:

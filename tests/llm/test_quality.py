@@ -69,3 +69,24 @@ def test_frames(documents, nothing):
     kept = quality.keep(documents)
     assert kept.schema == documents.schema
     assert sorted(r["tie"] for r in kept.collect()) == sorted(r["tie"] for r in documents.collect() if measures([r["text"]])[0]["kept"])
+
+
+def test_words_of_equal_hashes_are_told_apart(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["ab", "cd", "e", "fgh"]) for _ in range(rng.randrange(0, 60))) for _ in range(100)]
+    want = [{k: v for k, v in x.items() if k != "doc_id"} for t in texts for x in measures([t])]
+    for poor in (lambda w: (w.end - w.start).astype("uint64"), lambda w: 0 * w.start.astype("uint64")):
+        monkeypatch.setattr(quality.Words, "hashes", poor)
+        assert [{k: v for k, v in x.items() if k != "doc_id"} for x in measures(texts)] == want
+
+
+def test_long_texts():
+    """Texts over a step's bytes: a passage far from its copy, one word over and over, and short ones beside them."""
+    rng = random.Random(6)
+    long_ = [f"w{rng.randrange(10**7)}" for _ in range(400_000)]
+    passage = [f"p{i}" for i in range(200)]
+    texts = ["a b c", " ".join(passage + long_ + passage), None, " ".join(["a"] * 600_000), "x " * 9]
+    got = measures(texts)
+    assert got[1]["n_words"] == 400_400 and got[1]["longest_repeat"] == 200 and got[1]["n_repeat_words"] == 400 and got[1]["kept"]
+    assert got[3]["n_repeat_words"] == 600_000 and got[3]["longest_repeat"] == 599_999 and not got[3]["kept"]
+    assert [x["n_words"] for x in got] == [3, 400_400, 0, 600_000, 9]
