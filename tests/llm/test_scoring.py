@@ -82,3 +82,47 @@ def test_words_of_shared_codes_are_told_apart(spark):
         results.append(got)
     for other in results[1:]:
         assert max(abs(results[0][i] - other[i]) for i in results[0]) < 1e-6
+
+
+def direct(net, counts, known, h, all_counts):
+    """Score of one text word by word, in plain double precision: code by its six neighbours, word by its share of the code."""
+    code = known(h).tolist() if len(h) else []
+    padded, total = [scoring.CODES] * scoring.HALF + code + [scoring.CODES] * scoring.HALF, 0.0
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    soft = lambda z, at: z[at] - np.log(np.exp(z).sum())
+    for i, c in enumerate(code):
+        near = padded[i : i + scoring.HALF] + padded[i + scoring.HALF + 1 : i + 2 * scoring.HALF + 1]
+        state = np.tanh(sum(p["emb"][x] * p["place"][k] for k, x in enumerate(near)) @ p["hidden"] + p["hidden_b"])
+        total += soft(state @ p["high"] + p["high_b"], c // scoring.SIDE)
+        total += soft((state * p["gate"][c // scoring.SIDE]) @ p["low"] + p["low_b"][c // scoring.SIDE], c % scoring.SIDE)
+        if c >= scoring.OWN:
+            total += np.log(all_counts.get(int(h[i]), scoring.UNSEEN)) - np.log(counts[c] + scoring.UNSEEN)
+    return total
+
+
+def test_scores_against_a_direct_sum(spark, documents):
+    """Every row's score, with seen and unseen words, in codes of their own and shared ones, and a text over a step's bytes."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from larch.llm.words import Words, buffers
+
+    rng = random.Random(8)
+    text = " ".join(f"v{rng.randrange(9000)}" for _ in range(20_000))
+    train = documents.select("doc_id", "text").unionByName(spark.createDataFrame([(901, text)], "doc_id long, text string"))
+    net, codes = scoring.train(train)
+    hashes = lambda t: Words(*buffers(pa.array([t], pa.string()))).hashes()
+    counted = Counter(int(x) for r in train.collect() for x in hashes(r["text"]))
+    counts = np.zeros(scoring.CODES)
+    for x, n in counted.items():
+        counts[codes(np.array([x], dtype=np.uint64))[0]] += n
+    rows = [(1, text[:2000]), (2, "never seen these v1 v2"), (3, ""), (4, None), (5, "w1"), (6, text[500:900] + " new")]
+    got = {r["doc_id"]: r for r in scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), (net, codes)).collect()}
+    for i, t in rows:
+        want = direct(net, counts, codes, hashes(t), counted)
+        assert abs(got[i]["log_prob"] - want) < 1e-3 * (1 + abs(want))
+    long_ = " ".join([text] * 30)  # its words far from the edges score as in any other copy
+    table = spark.createDataFrame([(7, long_), (8, text), (9, text + " " + text)], "doc_id long, text string")
+    got = {r["doc_id"]: r["log_prob"] for r in scoring.score(table, (net, codes)).collect()}
+    assert abs(got[7] - (got[8] + 29 * (got[9] - got[8]))) < 1e-3 * abs(got[7])

@@ -50,3 +50,50 @@ def test_reruns_agree(documents):
 
 def test_empty(nothing):
     assert sharding.shard_rows(nothing).count() == 0
+
+
+def brute_cells(groups, room, shards, rounds):
+    """The cells after the given rounds, by loops: the line of groups, then cells that move to their group's fullest shard."""
+    step = max(1, min(room, -(-sum(n for _, n in groups) // shards)))
+    cells, at = Counter(), 0
+    for g, n in sorted(groups):
+        for k in range(at, at + n):
+            if k // step < shards:
+                cells[g, k // step] += 1
+        at += n
+    for _ in range(rounds):
+        load, ahead, after = Counter(), Counter(), Counter()
+        for (_, s), n in cells.items():
+            load[s] += n
+        best = {g: min((-n, s) for (x, s), n in cells.items() if x == g)[1] for g, _ in cells}
+        for (g, s), n in sorted(cells.items()):
+            to = best[g]
+            go = 0 if s == to else max(0, min(n, max(0, room - load[to]) - ahead[to]))
+            ahead[to] += n if s != to else 0
+            after[g, to] += go
+            after[g, s] += n - go
+        cells = +after
+    return cells
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_propagation_against_brute_force(spark, rng, monkeypatch, rounds):
+    monkeypatch.setattr(sharding, "BUCKETS", 1)  # one bucket: groups stand in the order of their names
+    for room, shards in ((30, 9), (12, 40), (1, 3)):
+        groups = [(f"g{i:03}", rng.choice([2, 2, 3, 5, 9, 40])) for i in range(25)]
+        table = spark.createDataFrame(groups, "g string, n long")
+        got = {(r["g"], r["shard"]): r["n"] for r in sharding.shards_of_groups(table, room, shards, rounds).collect()}
+        assert got == dict(brute_cells(groups, room, shards, rounds))
+        loads = Counter()
+        for (_, s), n in got.items():
+            loads[s] += n
+        assert max(loads.values()) <= room
+
+
+def test_long_texts(spark, rng):
+    long_ = "".join(rng.choice("ab \n") for _ in range(3_000_000))
+    table = spark.createDataFrame([(1, long_), (2, "x"), (3, long_), (4, None), (5, long_ + "c"), (6, "x")], "doc_id long, text string")
+    got = sharding.shard_rows(table, 3).collect()
+    laws(got, table.collect(), 3)
+    where = {r["doc_id"]: r["shard"] for r in got}
+    assert where[1] == where[3] and where[2] == where[6]
