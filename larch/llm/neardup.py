@@ -47,6 +47,8 @@ BATCH, MISS = 25, 1e-9
 #: Nodes and shingles of a block, and rows of ids that may be broadcast (16 bytes each).
 BLOCK, BLOCK_SHINGLES = 1_024, 4 << 20
 BROADCAST_IDS = 1_000_000
+#: Edges from which a node's edges are spread over all tasks, and the most nodes for which they are.
+HOT, HOT_MOST = 100_000, 100_000
 
 _SETS = "doc_id long, f long, n_shingles long, fa long, fb long, bands binary"
 _LINKS = "ad long, ak int, bd long, bk int"
@@ -237,22 +239,37 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from close()
 
 
+def _least_of(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (u, v) with the m of their u from least (x, m, n edges of x).
+
+    Nodes of very many edges are met by broadcast, so that no task gets all edges of one of them.  They have HOT edges
+    or more and a share of 1 / HOT_MOST or more of all edges, so there are HOT_MOST of them at most.
+    """
+    total, most = least.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    bound = max(HOT, -(-total // HOT_MOST))
+    if most < bound:
+        return edges.join(least, F.col("u") == F.col("x")).select("u", "v", "m")
+    hot = F.broadcast(least.filter(F.col("n") >= bound))
+    met = edges.join(hot, F.col("u") == F.col("x"), "left_anti").join(least, F.col("u") == F.col("x"))
+    return met.select("u", "v", "m").unionByName(edges.join(hot, F.col("u") == F.col("x")).select("u", "v", "m"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(d, k, cd, ck): each node of a link, and the smallest node of its component.
 
     Alternating large-star and small-star steps over the edges, each two groupings by node; the edge
-    list never grows, and a star is never gathered: only its minimum is.
+    list never grows, and a star is never gathered: only its minimum is, and it comes back by _least_of().
     """
     node = lambda p: F.struct(F.col(f"{p}d").alias("d"), F.col(f"{p}k").alias("k"))
     edges = cut(links.select(node("a").alias("u"), node("b").alias("v")).filter("u <> v").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.min("u")).alias("m")))
+        least = cut(both.groupBy(F.col("u").alias("x")).agg(F.least(F.min("v"), F.min("u")).alias("m"), F.count(F.lit(1)).alias("n")))
         # Large-star: every larger neighbour of u goes to the smallest around u; then the same for the smaller ones.
-        large = cut(both.filter("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = cut(_least_of(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # every edge now runs from a node to a smaller one
-        floor = cut(large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")))
-        small = large.join(floor, F.col("u") == F.col("x")).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
+        floor = cut(large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = _least_of(large, floor).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         after = cut(small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct())
         for x in (edges, least, large, floor):
             drop(x)

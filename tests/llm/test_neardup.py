@@ -67,6 +67,7 @@ def test_blocks_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 7)
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 300)
     monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(neardup, "HOT", 3)
     got = sorted((tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == brute(rows)
 
