@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Least score of a strong association, of a preset; and what the gate asks for.
@@ -67,3 +67,12 @@ def score(truth: DataFrame, found: DataFrame, group: str = "image", keys: tuple[
     )
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     return totals.select("*", share(F.col("tp"), F.col("n")).alias("accuracy"), share(F.col("tp"), F.col("tp") + F.col("wrong") + F.col("fp")).alias("precision"), share(F.col("tp"), F.col("tp") + F.col("wrong") + F.col("fn")).alias("recall"))
+
+
+def failures(truth: DataFrame, found: DataFrame, group: str = "image", keys: tuple[str, ...] = ("row", "col"), most: int = 40) -> DataFrame:
+    """The report of what score() counts as wrong, missed or extra: the first `most` places of each group, by their keys."""
+    k = [group, *keys]
+    t, d = (x.groupBy(*k).agg(F.max("item_id").alias(name)) for x, name in ((truth, "want"), (found, "got")))
+    kind = F.when(F.col("got").isNull(), "missed").when(F.col("want").isNull(), "extra").when(F.col("want") != F.col("got"), "wrong")
+    rows = t.join(d, k, "full").withColumn("kind", kind).filter("kind is not null")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*keys))).filter(F.col("place") <= most)

@@ -285,11 +285,24 @@ b as (select coalesce(t.image, d.image) as image, t.t, t.n, d.d from t full join
 r as (select image, cast(coalesce(sum(n), 0) as bigint) as n, count(*) filter (t = d) as tp, count(*) filter (t <> d) as wrong, count(*) filter (t is not null and d is null) as fn, count(*) filter (t is null and d is not null) as fp from b group by rollup(image))
 select *, coalesce(tp / nullif(n, 0)::double, 0) as accuracy, coalesce(tp / nullif(tp + wrong + fp, 0)::double, 0) as precision, coalesce(tp / nullif(tp + wrong + fn, 0)::double, 0) as recall from r""")
 def q16_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = load(spark, sf_dir, "labels")
+    return identity.score(*_judged(load(spark, sf_dir, "labels")))
+
+
+def _judged(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Truth and detections by image from the two labels: some rows are undetected, some detected elsewhere."""
     image, d = (F.col("doc_id") % 7).alias("image"), F.col("doc_id")
     truth = labels.select(image, d.alias("row"), F.lit(0).alias("col"), F.col("quality").alias("item_id"))
     found = labels.filter("doc_id % 3 <> 0").select(image, F.when(d % 5 == 0, d + 1_000_000_000).otherwise(d).alias("row"), F.lit(0).alias("col"), F.col("toxic").alias("item_id"))
-    return identity.score(truth, found)
+    return truth, found
+
+
+@query("""with t as (select doc_id % 7 as image, doc_id as row, max(quality) as want from labels group by 1, 2),
+d as (select image, row, max(v) as got from (select doc_id % 7 as image, case when doc_id % 5 = 0 then doc_id + 1000000000 else doc_id end as row, toxic as v from labels where doc_id % 3 <> 0) group by 1, 2),
+b as (select coalesce(t.image, d.image) as image, coalesce(t.row, d.row) as row, 0 as col, want, got from t full join d on t.image = d.image and t.row = d.row),
+k as (select *, case when got is null then 'missed' when want is null then 'extra' else 'wrong' end as kind from b where got is null or want is null or got <> want)
+select * from (select *, cast(row_number() over (partition by image order by row) as int) as place from k) where place <= 40""")
+def q85_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.failures(*_judged(load(spark, sf_dir, "labels")))
 
 
 def _templates(emb: DataFrame, masked: bool) -> DataFrame:

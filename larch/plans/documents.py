@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from larch.operators import identity
 from larch.plans.catalogue import load, query
 from larch.sources import html, snapshots, stores
+from larch.sources.background import BackgroundTable
 
 
 def _folder(spark: SparkSession) -> str:
@@ -111,6 +112,14 @@ def q76_template_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.templates(spark, at).select("template", "w", "h", total.alias("total"))
 
 
+@query("select s_suppkey as k, s_name as name from supplier")
+def q86_background_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = BackgroundTable(spark, _folder(spark), lambda note: load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")))
+    table.start()
+    table.wait()
+    return table.get()
+
+
 @query("select s_suppkey as k, case s_suppkey % 4 when 0 then 100.0::double when 1 then 100.0::double when 2 then 160.0::double else 100.0::double end as snapshot_ts from supplier")
 def q77_read_through(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What four requests see: the first fetch, a fresh table, one past its time to live, and an old one where fetching is not allowed."""

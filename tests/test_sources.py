@@ -1,4 +1,5 @@
 import json
+import threading
 import time
 
 import pytest
@@ -7,6 +8,7 @@ from larch.functions import pricing
 from larch.operators import identity
 from larch.plans import scenarios
 from larch.sources import html, schemas, snapshots, stores
+from larch.sources.background import BackgroundTable
 from larch.streaming import polling
 
 
@@ -92,6 +94,29 @@ def test_read_through(spark, tmp_path):
     assert read(99.0).first()["n"] == 4
 
 
+def test_background_build(spark, tmp_path):
+    go, calls = threading.Event(), []
+
+    def build(note):
+        calls.append(1)
+        note(1, 3)
+        assert go.wait(60)
+        if len(calls) == 2:
+            raise OSError("down")
+        return spark.createDataFrame([(len(calls),)], "n long")
+
+    table = BackgroundTable(spark, str(tmp_path / "b"), build)
+    assert table.get() is None and table.progress() == {"running": False, "done": 0, "total": 0, "error": None}
+    assert table.start() and not table.start() and table.get() is None
+    go.set()
+    table.wait()
+    assert table.get().first()["n"] == 1 and table.progress() == {"running": False, "done": 3, "total": 3, "error": None} and len(calls) == 1
+    assert table.start()
+    table.wait()
+    assert table.progress()["error"] == "down" and table.get().first()["n"] == 1
+    assert BackgroundTable(spark, str(tmp_path / "b"), build).get().first()["n"] == 1
+
+
 TABLE = "<table><tr><th>Prestige level</th><th>Min PMC level</th><th>Quests</th><th>Objectives</th><th>Skills</th><th>Hideout</th><th>Items to hand in</th></tr>{}</table>"
 
 
