@@ -11,6 +11,8 @@ from larch.functions.similarity import weighted_ratio
 
 #: Least length of an alias that may decide, and the fuzzy cutoff of the cascade and of labels.
 ALIAS_LENGTH, FUZZY_CUTOFF, LABEL_CUTOFF = 4, 93.0, 78.0
+#: Different labels, and different names, that a block of the comparison holds on average.
+LABEL_BLOCK = 4_096
 
 
 def last_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -98,15 +100,29 @@ def match_labels(labels: DataFrame, items: DataFrame, cutoff: float = LABEL_CUTO
     """labels (id, text, fw, fh) to items (item_id, name, shortName, width, height, pos) of that footprint, either way round.
 
     The footprint is an equi-join key, so only items of the same size are compared; the native
-    orientation comes first on ties.
+    orientation comes first on ties, then pos, the short name and the smaller item_id.  Copies share their result: each
+    different label of a footprint meets each different name of that footprint once, in a grid of blocks.  The similarity
+    must depend on the two texts alone.
     """
-    sides = F.array_distinct(F.array(F.struct(F.col("fw").alias("w"), F.col("fh").alias("h"), F.lit(0).alias("side")), F.struct(F.col("fh").alias("w"), F.col("fw").alias("h"), F.when(F.col("fw") == F.col("fh"), 0).otherwise(1).alias("side"))))
-    left = labels.select("id", F.lower("text").alias("q"), F.explode(sides).alias("s")).select("id", "q", "s.*")
+    rows = labels.select("id", F.lower("text").alias("q"), "fw", "fh").filter("q is not null")
+    kinds = rows.select("q", "fw", "fh").distinct()
     names = F.array_distinct(F.filter(F.array(F.lower("shortName"), F.lower("name")), lambda x: x.isNotNull() & (x != "")))
-    right = items.select("item_id", "pos", F.col("width").alias("w"), F.col("height").alias("h"), F.posexplode(names).alias("k", "key"))
-    pairs = left.join(right, ["w", "h"]).withColumn("score", similarity(F.col("q"), F.col("key"))).filter(F.col("score") >= cutoff)
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "side", "pos", "k")
-    return pairs.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("id", "item_id", "key", "score")
+    keys = items.select("item_id", "pos", F.col("width").alias("w"), F.col("height").alias("h"), F.posexplode(names).alias("k", "key"))
+    keys = keys.groupBy("w", "h", "key").agg(F.min(F.struct("pos", "k", "item_id")).alias("m")).select("w", "h", "key", "m.*")
+    salts, blocks = max(1, -(-kinds.count() // LABEL_BLOCK)), max(1, -(-keys.count() // LABEL_BLOCK))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sides = F.array_distinct(F.array(F.struct(F.col("fw").alias("w"), F.col("fh").alias("h"), F.lit(0).alias("side")), F.struct(F.col("fh").alias("w"), F.col("fw").alias("h"), F.when(F.col("fw") == F.col("fh"), 0).otherwise(1).alias("side"))))
+    left = kinds.withColumn("s", F.explode(sides)).select("q", "fw", "fh", "s.*").withColumn("salt", deal("q", salts)).withColumn("block", each(blocks))
+    right = keys.withColumn("block", deal("key", blocks)).withColumn("salt", each(salts))
+    # A fixed number of tasks: Spark would merge them by bytes, but the work is in the pairs.
+    cell, tasks = ["w", "h", "salt", "block"], int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = left.repartition(tasks, *cell).join(right.repartition(tasks, *cell), cell)
+    pairs = pairs.withColumn("score", similarity(F.col("q"), F.col("key"))).filter(F.col("score") >= cutoff)
+    first = lambda df, by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "side", "pos", "k", "item_id"))).filter("_n = 1")
+    best = first(pairs, ["q", "fw", "fh"]).select("q", "fw", "fh", "item_id", "key", "score", "side", "pos", "k")
+    # A repeated id keeps the best of its labels.
+    return first(rows.join(best, ["q", "fw", "fh"]), ["id"]).select("id", "item_id", "key", "score")
 
 
 def first_alias_hit(entries: DataFrame, index: DataFrame) -> DataFrame:

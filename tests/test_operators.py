@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from larch.functions.similarity import indel_ratio
+from larch.functions.similarity import indel, indel_ratio
 from larch.operators import claims, identity, keeplist, lookup, protection, ranking, requirements, series, vectors
 from larch.plans import scenarios
 from larch.sources import schemas
@@ -71,6 +73,58 @@ def test_index_and_cascade(spark):
     assert {r["id"]: r["item_id"] for r in lookup.match_labels(labels, items, 78.0, indel_ratio).collect()} == {"a": "i3", "b": "i4"}
 
 
+def test_labels_meet_names_once(spark, monkeypatch):
+    """Copies of labels and names are compared once, in a grid of many blocks; ids, ties and orientations as in plain loops."""
+    monkeypatch.setattr(lookup, "LABEL_BLOCK", 3)
+    rng = random.Random(7)
+    texts, words = ["Bolt", "bolt", "nut", "long bolt", "", None], ["Bolt", "bolt", "Nut", "long nut", "ring", "", None]
+    labels = [(rng.choice([k, k % 40, None]), rng.choice(texts), rng.choice([1, 1, 2, 3, None]), rng.choice([1, 2])) for k in range(300)]
+    items = [(f"i{k}", rng.choice(words), rng.choice(words), rng.choice([1, 1, 2, None]), rng.choice([1, 2, 3]), rng.choice([k, k, 5])) for k in range(200)]
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        calls.add(len(a))
+        return pd.Series([None if x is None else indel(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    low = lambda x: None if x is None else x.lower()
+    want, pairs, places = {}, set(), {(pos, i) for i, _, _, _, _, pos in items}
+    assert len(places) == len(items)
+    for label, text, fw, fh in labels:
+        q = low(text)
+        for side, size in enumerate(dict.fromkeys([(fw, fh), (fh, fw)])):
+            for item, name, short, w, h, pos in items:
+                if None in (q, *size, w, h) or size != (w, h):
+                    continue
+                for k, key in enumerate(dict.fromkeys(x for x in (low(short), low(name)) if x)):
+                    pairs.add((q, fw, fh, side, key))
+                    score = indel(q, key)
+                    if score >= 60:
+                        want[label] = min(want.get(label, (1,)), (-score, side, pos, k, item, key))
+    df = lookup.match_labels(spark.createDataFrame(labels, "id long, text string, fw int, fh int").coalesce(1), spark.createDataFrame(items, "item_id string, name string, shortName string, width int, height int, pos long"), 60.0, near)
+    got = {r["id"]: (r["item_id"], r["key"], r["score"]) for r in df.collect()}
+    assert 0 < calls.value <= 2 * len(pairs)  # the filter may be computed apart from the column
+    assert len(want) > 80 and got == {label: (item, key, -score) for label, (score, _, _, _, item, key) in want.items()}
+
+
+def test_labels_spread(spark, monkeypatch):
+    """One file of labels of one footprint is compared in many tasks."""
+    monkeypatch.setattr(lookup, "LABEL_BLOCK", 10)
+    names = [f"name {k}" for k in range(100)]
+    labels = spark.createDataFrame([(k, n, 1, 1) for k, n in enumerate(names)], "id long, text string, fw int, fh int").coalesce(1)
+    items = spark.createDataFrame([(k, n, n, 1, 1, k) for k, n in enumerate(names)], "item_id long, name string, shortName string, width int, height int, pos long").coalesce(1)
+    tasks = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        tasks.add(1 << 64 * TaskContext.get().partitionId())
+        return (a == b) * 100.0
+
+    got = lookup.match_labels(labels, items, 50.0, near).collect()
+    assert sorted((r["id"], r["item_id"]) for r in got) == [(k, k) for k in range(100)]
+    assert sum(tasks.value >> 64 * k & (1 << 64) - 1 > 0 for k in range(100)) >= 3
+
+
 def test_protection(spark):
     kept = spark.createDataFrame([("a", "collector", False), ("b", "manual", False), ("c", "collector", True)], "item_id string, category_id string, acquired boolean")
     needs = spark.createDataFrame(
